@@ -40,7 +40,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for ``df`` (file sizes for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
