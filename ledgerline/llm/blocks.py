@@ -1,7 +1,7 @@
 """Content-cut blocks: how repeated windows of a corpus are found without moving the corpus.
 
 A window of L units is keyed by the least hash among its k-grams. Consecutive windows
-with the same key form a block; equal windows have equal keys, so they can only meet
+whose least k-gram is the same one, at the same place, form a block; equal windows have equal keys, so they can only meet
 under one key. One row per block (key, hash of the block's content, where it stands) is
 what moves; for windows of 35 words about one row in nine words, for 100 bytes about one
 row in forty.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.kernels import U64, Rolling, mix64, row_starts, signed, sliding_min
@@ -29,7 +29,8 @@ from ledgerline.llm.kernels import U64, Rolling, mix64, row_starts, signed, slid
 NO_ID = -(1 << 63)
 BLOCK_SCHEMA = "key long, content long, doc long, start int, n int"
 CLASS_SCHEMA = "key long, doc long, start int, n int, copies int, first boolean, mixed boolean"
-LONGEST = 512
+#: Windows in one packed span.
+MOST = (1 << 24) - 1
 
 
 def cut_blocks(values: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -38,16 +39,13 @@ def cut_blocks(values: np.ndarray, first: np.ndarray, length: int, k: int) -> tu
     if not len(at):
         return (np.zeros(0, U64), np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3)))
     rolled = Rolling(values)
-    key = sliding_min(mix64(rolled.fixed(k)), length - k + 1)[at]
+    gram = mix64(rolled.fixed(k))
+    key = sliding_min(gram, length - k + 1)[at]
+    # A new block begins with a new least k-gram, or with the same one at another place: when it was a window's first.
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (gram[at[:-1]] == key[:-1])
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(at)))
-    if size.max() > LONGEST:  # periodic content
-        parts = -(-size // LONGEST)
-        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        head = np.repeat(head, parts) + within * LONGEST
-        size = np.diff(np.append(head, len(at)))
     start = at[head]
     content = mix64(rolled.ranges(start, start + size + length - 1) ^ size.astype(U64))
     return key[head], content, row[head], start - first[:-1][row[head]], size
@@ -91,11 +89,13 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         runs = np.bincount(group[new_run])
         runs[0] += was_mixed
         copies, mixed = run_n[run], runs[group] > 1
+        head = np.flatnonzero(new_run)[run]
+        is_first = (cols[2] == cols[2][head]) & (cols[3] == cols[3][head])  # a repeated row stands where the first does
         last = int(np.flatnonzero(new_run)[-1])
         keep = (copies > 1) | mixed
         keep[last] = False
         if keep.any():
-            yield out(cols, copies, new_run, mixed, keep)
+            yield out(cols, copies, is_first, mixed, keep)
         held = [c[last : last + 1].copy() for c in cols]
         extra, was_mixed = int(run_n[-1]) - 1, bool(runs[-1] > 1)
     if held is not None and (extra or was_mixed):
@@ -112,9 +112,59 @@ def of_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 64 << 20) -> DataFrame:
-    """Join documents to one small row per document. The small side is broadcast if its *written* size is under ``limit``; else both sides are shuffled."""
-    from ledgerline.functions.session import plan_bytes
+def packed(flag: Column | None = None) -> Column:
+    """Columns start and n, and a flag, in one long: an entry of a document's list of spans."""
+    return F.shiftleft(F.col("start").cast("long"), 25) + F.shiftleft(F.col("n").cast("long"), 1) + (flag.cast("long") if flag is not None else F.lit(0))
 
-    side = F.broadcast(lists) if 3 * plan_bytes(lists) <= limit else lists
+
+def unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x >> 25, (x >> 1) & MOST, (x & 1).astype(bool)
+
+
+def span_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and offsets of a column of lists (null: empty)."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, at = span_lists(batch.column("spans"))
+        start, n, _ = unpacked(values)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        by = np.lexsort((start, row))
+        # rows apart from one another, so that one running maximum serves all
+        apart = int((start + n).max(initial=0)) + 2
+        start = start[by] + row[by] * apart
+        end = np.maximum.accumulate(start + n[by])
+        new = np.ones(len(start), bool)
+        new[1:] = start[1:] > end[:-1]
+        head = np.flatnonzero(new)
+        s, e, r = start[head], end[np.append(head[1:], len(start)) - 1] if len(head) else end, row[by][head]
+        parts = -(-(e - s) // MOST)
+        again = np.repeat(np.arange(len(s)), parts)
+        k = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+        s, e, r = s[again] + k * MOST, np.minimum(e[again], s[again] + (k + 1) * MOST), r[again]
+        offsets = np.searchsorted(r, np.arange(len(at))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(((s - r * apart) << 25) | ((e - s) << 1)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "spans"])
+
+
+def merged_lists(spans: DataFrame) -> DataFrame:
+    """(doc, spans): per document its spans (doc, start, n), overlapping and touching ones made one, packed."""
+    lists = spans.groupBy("doc").agg(F.collect_list(packed()).alias("spans"))
+    return lists.mapInArrow(_merge, "doc long, spans array<long>")
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 32 << 20) -> DataFrame:
+    """Join documents to one small row per document (doc, and perhaps spans).
+
+    The size the small side takes in memory is counted first: under ``limit`` it is
+    broadcast, beyond it both sides are shuffled by document.
+    """
+    entries = F.sum(F.size("spans")) if "spans" in lists.columns else F.lit(0)
+    rows, entries = lists.agg(F.count(F.lit(1)), F.coalesce(entries, F.lit(0))).first()
+    side = F.broadcast(lists) if 64 * rows + 8 * entries <= limit else lists
     return docs.join(side, "doc", how)

@@ -129,10 +129,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float, suppor
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     held = found.where(F.size("spans") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    scored = pairs.join(held, "entity").join(terms, "term").join(F.broadcast(total))  # one row
-    ic = F.log(F.col("total") / F.col("n_c"))
-    pmi = F.log(F.col("n_tc") * F.col("total") / (F.col("n_t") * F.col("n_c")))
+    total = F.lit(docs.count())
+    scored = pairs.join(held, "entity").join(terms, "term")
+    ic = F.log(total / F.col("n_c"))
+    pmi = F.log(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c")))
     return scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 

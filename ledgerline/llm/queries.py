@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup, url_filters
+from ledgerline.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup, suffix_dedup, url_filters
 from ledgerline.sources.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_decontamination, op4_mixing, op5_language_id, op6_ngram_join, op7_substring_dedup, op8_lm_scoring, op9_url_filters, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_decontamination, op4_mixing, op5_language_id, op6_ngram_join, op7_substring_dedup, op8_lm_scoring, op9_url_filters, op10_exact_dedup)}
 ORACLES = {"op9_url_filters": url_filters.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -58,10 +58,8 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column("doc").to_numpy()
-            lists = batch.column("spans")
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            s, n, c = (flat.field(x).to_numpy() for x in ("start", "n", "copies"))
+            flat, at = blocks.span_lists(batch.column("spans"))
+            s, n, c = blocks.unpacked(flat)
             for i, j, raw, offs in pieces(batch.column("text")):
                 start, end, first = words(raw, offs)
                 values = word_hashes(raw, start, end)
@@ -77,7 +75,7 @@ def _windows(length: int):
                 fits = begin + length <= first[wrow + 1]
                 where, wrow, copies, begin = where[fits], wrow[fits], copies[fits], begin[fits]
                 key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length))
-                twice = np.flatnonzero(copies > 1)  # their content is known to stand at another place
+                twice = np.flatnonzero(copies)  # their content is known to stand at another place
                 pick = np.concatenate([np.arange(len(key)), twice])
                 yield pa.RecordBatch.from_arrays(
                     [signed(key[pick]), signed(content[pick]), pa.array(doc[i:j][wrow[pick]]), pa.array(where[pick].astype(np.int32)), pa.array(np.ones(len(pick), np.int32))],
@@ -90,25 +88,20 @@ def _windows(length: int):
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw_texts = batch.column("text").cast(pa.large_binary()) if not pa.types.is_large_string(batch.column("text").type) else batch.column("text")
-            lists = batch.column("spans")
+            texts = batch.column("text")
+            flat, at = blocks.span_lists(batch.column("spans"))
             n_words, n_removed, digest = [], [], []
             for i in range(batch.num_rows):
-                text = raw_texts[i].as_py()
-                tokens = (text.encode() if isinstance(text, str) else text).split()
-                spans = lists[i]
-                gone = 0
-                if spans.is_valid and tokens:
-                    flat = spans.values
-                    s, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                tokens = texts[i].as_py().encode().split()
+                kept, gone = tokens, 0
+                if at[i] < at[i + 1] and tokens:
+                    s, n, _ = blocks.unpacked(flat[at[i] : at[i + 1]])
                     fits = s < len(tokens)
                     s, e = s[fits], np.minimum(s[fits] + n[fits] + length - 1, len(tokens))
                     edge = np.bincount(s, minlength=len(tokens) + 1) - np.bincount(e, minlength=len(tokens) + 1)
                     keep = np.cumsum(edge)[: len(tokens)] == 0
                     gone = len(tokens) - int(keep.sum())
                     kept = list(compress(tokens, keep.tolist()))
-                else:
-                    kept = tokens
                 n_words.append(len(tokens))
                 n_removed.append(gone)
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -123,7 +116,7 @@ def duplicate_factors(docs: DataFrame, length: int = LENGTH, phrase: int = PHRAS
     width = shuffle_width(docs)
     index = text.mapInArrow(_index(length, phrase), blocks.BLOCK_SCHEMA)
     shared = materialise(blocks.classify(index, width), "op7-blocks")
-    ends = shared.where("mixed and first").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "copies")).alias("spans"))
+    ends = shared.where("mixed and first").groupBy("doc").agg(F.collect_list(blocks.packed(F.col("copies") > 1)).alias("spans"))
     ends = materialise(ends, "op7-boundaries")
     windows = blocks.with_lists(text, ends, "inner").mapInArrow(_windows(length), blocks.BLOCK_SCHEMA)
     checked = blocks.classify(windows, width).where("copies > 1")
@@ -134,6 +127,6 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE)
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     ship(docs.sparkSession)
     factors = duplicate_factors(docs, length, phrase)
-    lists = materialise(factors.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "op7-factors")
+    lists = materialise(blocks.merged_lists(factors), "op7-factors")
     out = blocks.with_lists(blocks.of_documents(docs), lists, "left").mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.when(F.col("doc") != blocks.NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
