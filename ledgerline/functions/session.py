@@ -11,6 +11,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Catalyst's estimate for data it knows nothing of is the largest long.
+UNKNOWN = 1 << 60
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,9 +46,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Shuffle partitions that keep each near ``bytes_each``, at least the session's own number."""
+    """Shuffle partitions that keep each near ``bytes_each``, at least the session's own number (which serves where the size is unknown)."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(1 << 17, max(floor, -(-plan_bytes(df) // bytes_each)))
+    size = plan_bytes(df)
+    return floor if size >= UNKNOWN else min(1 << 17, max(floor, -(-size // bytes_each)))
 
 
 def ship(spark: SparkSession) -> None:
