@@ -592,3 +592,11 @@ def stream_journal_counts(s, d):
     stream = extensions.journal(s, d, schema, "events.parquet")
     return extensions.drain(extensions.windowed_counts(stream), "journal_counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
+
+
+def load() -> None:
+    """Adds the queries of the other modules of this package."""
+    from ledgerline.plans import more  # noqa: F401
+
+
+load()
