@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Odd multipliers of the rolling hashes and their inverses modulo 2**64.
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
@@ -41,7 +41,7 @@ BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = max(n, PIECE + (PIECE >> 2))
         for name, step in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, step, U64)
             steps[0] = 1
