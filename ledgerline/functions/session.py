@@ -52,9 +52,16 @@ def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return floor if size >= UNKNOWN else min(1 << 17, max(floor, -(-size // bytes_each)))
 
 
+#: Rows in an Arrow batch: batches of whole texts stay at some megabytes on both sides of the pipe.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application, and bound the batches they get."""
     sc = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
