@@ -11,7 +11,8 @@ documents take the whole part; the fraction is drawn by seeded order: documents
 ordered by a hash of (seed, doc_id) and taken until the wanted words are reached.
 That order is resolved in two steps so that no source is ever sorted in one task:
 words per (source, one of 65,536 hash buckets) first, then only documents of the one
-bucket in which a source's limit falls. The draw depends on ids and the seed alone,
+bucket in which a source's limit falls. One last document, the nearest in size to what is
+still wanting, closes the gap. The draw depends on ids and the seed alone,
 so reruns agree whatever the partitioning.
 
 Defined cases: null and empty text have size 0 and are taken 0; a null source is a
@@ -93,9 +94,16 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, weights=weig
     split = every.where(at_limit)
     within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.col("before") + F.sum("size").over(within)
-    # The document at the limit is taken if that ends nearer to it than leaving it out.
-    split = split.withColumn("extra", F.when(reached - F.col("size") / 2 <= F.col("want"), 1).otherwise(0))
+    split = split.withColumn("extra", F.when(reached <= F.col("want"), 1).otherwise(0))
+    drawn = materialise(settled.unionByName(split), "op4-drawn")
+    # What is still wanting after the last document that fits whole: the one document left whose size comes nearest to it.
+    lack = drawn.groupBy("source").agg((F.first("want") - F.sum(F.col("extra") * F.col("size"))).alias("lack")).where("lack > 0")
+    open_ = drawn.where("extra = 0").alias("d").join(lack.alias("l"), same("d", "l")).where(F.abs(F.col("l.lack") - F.col("d.size")) < F.col("l.lack"))
+    last = open_.groupBy("d.source").agg(F.min_by(F.struct("d.doc_id", "d.draw", "d.size"), F.struct(F.abs(F.col("l.lack") - F.col("d.size")), F.col("d.draw"), F.col("d.doc_id"))).alias("x"))
+    last = last.select(F.col("source"), F.col("x.doc_id").alias("doc_id"), F.col("x.draw").alias("draw"), F.col("x.size").alias("size"))
+    chosen = same("d", "x") & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.draw") == F.col("x.draw")) & (F.col("d.size") == F.col("x.size")) & (F.col("d.extra") == 0)
+    drawn = drawn.alias("d").join(last.alias("x"), chosen, "left").select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", "d.whole", F.when(F.col("x.size").isNotNull(), 1).otherwise(F.col("d.extra")).alias("extra"))
     none = sized.where("size = 0").alias("d").join(goal.alias("g"), same("d", "g")).select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", F.lit(0).cast("long").alias("copies"))
     cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies")]
-    out = settled.select(*cols).unionByName(split.select(*cols)).unionByName(none)
+    out = drawn.select(*cols).unionByName(none)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
