@@ -10,8 +10,10 @@ Under one key, a block whose whole content stands somewhere else too is repeated
 whole. A block whose key is shared but whose content isn't may hold windows that repeat:
 it is *mixed* and has to be compared window by window. Every other block is unique.
 
-Rows of a key are streamed in order of (key, content, place) with constant state, so a
-key that holds a large part of all rows is never gathered in memory.
+Tasks combine equal contents before rows move, so a passage that a third of all documents
+hold sends one row a task to its key; its other copies are dealt out evenly. Rows of a key
+are streamed in order of (key, content, place) with constant state, so a key that holds a
+large part of all rows is never gathered in memory.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ledgerline.llm.kernels import U64, Rolling, mix64, row_starts, signed, slid
 
 #: Documents without an id count as one document with the least id.
 NO_ID = -(1 << 63)
-BLOCK_SCHEMA = "key long, content long, doc long, start int, n int"
+BLOCK_SCHEMA = "key long, content long, doc long, start int, n int, weight int"
 CLASS_SCHEMA = "key long, doc long, start int, n int, copies int, first boolean, mixed boolean"
 #: Windows in one packed span.
 MOST = (1 << 24) - 1
@@ -51,14 +53,52 @@ def cut_blocks(values: np.ndarray, first: np.ndarray, length: int, k: int) -> tu
     return key[head], content, row[head], start - first[:-1][row[head]], size
 
 
-def block_batch(doc: np.ndarray, cut: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+#: Rows that a task combines before it sends them.
+COMBINED = 1 << 18
+NAMES = ["key", "content", "doc", "start", "n", "weight"]
+
+
+def combined(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, content, doc, start, n, weight) of many chunks, equal contents of a task combined.
+
+    Of equal contents only the first goes on, with weight 2; the others are known to be
+    copies of something earlier and get weight 0: they needn't meet the rest of their key.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush():
+        key, content, doc, start, n, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((start, doc, n, content, key))
+        key, content, doc, start, n, weight = (x[by] for x in (key, content, doc, start, n, weight))
+        head = np.ones(len(key), bool)
+        head[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (n[1:] != n[:-1])
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = (doc != doc[lead]) | (start != start[lead])
+        weight = np.where(head, np.minimum(np.add.reduceat(weight, np.flatnonzero(head))[np.cumsum(head) - 1], 2), np.where(later, 0, weight))
+        whole = pa.RecordBatch.from_arrays([signed(key), signed(content), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(weight.astype(np.int32))], names=NAMES)
+        return [whole.slice(i, 1 << 15) for i in range(0, whole.num_rows, 1 << 15)]
+
+    for chunk in chunks:
+        if len(chunk[0]):
+            held.append(chunk)
+            size += len(chunk[0])
+        if size >= COMBINED:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def block_rows(doc: np.ndarray, cut: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     key, content, row, start, size = cut
-    return pa.RecordBatch.from_arrays([signed(key), signed(content), pa.array(doc[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "content", "doc", "start", "n"])
+    return key, content, doc[row], start, size, np.ones(len(key), np.int64)
 
 
 def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sorted rows, those whose key is shared: copies of their content (1, or 2 for more), whether they are the first of it, whether the key has other contents.
 
+    Rows of weight 0 are copies already and pass through.
     ``mixed`` is right for first rows; for others it may be false. The one row carried
     from batch to batch is the first of the last content.
     """
@@ -72,9 +112,17 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        weight = cols.pop()
+        if not weight.all():
+            passed = weight == 0
+            yield out(cols, np.full(len(passed), 2), np.zeros(len(passed), bool), np.zeros(len(passed), bool), passed)
+            cols, weight = [c[~passed] for c in cols], weight[~passed]
+            if not len(weight):
+                continue
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            weight = np.concatenate([[1], weight])
         else:
             extra, was_mixed = 0, False
         key, content, size = cols[0], cols[1], cols[4]
@@ -84,7 +132,7 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         new_run[1:] |= (content[1:] != content[:-1]) | (size[1:] != size[:-1])
         run = np.cumsum(new_run) - 1
         group = np.cumsum(new_key) - 1
-        run_n = np.bincount(run)
+        run_n = np.bincount(run, weight).astype(np.int64)
         run_n[0] += extra
         runs = np.bincount(group[new_run])
         runs[0] += was_mixed
@@ -104,7 +152,8 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def classify(rows: DataFrame, width: int) -> DataFrame:
     """The shared rows of a table of blocks; see ``classify_stream``."""
-    return rows.repartition(width, "key").sortWithinPartitions("key", "content", "n", "doc", "start").mapInArrow(classify_stream, CLASS_SCHEMA)
+    deal = F.when(F.col("weight") > 0, F.col("key")).otherwise(F.xxhash64("doc", "start"))
+    return rows.repartition(width, deal).sortWithinPartitions("key", "content", "n", "doc", "start").mapInArrow(classify_stream, CLASS_SCHEMA)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
@@ -158,7 +207,7 @@ def merged_lists(spans: DataFrame) -> DataFrame:
     return lists.mapInArrow(_merge, "doc long, spans array<long>")
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 32 << 20) -> DataFrame:
+def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 64 << 20) -> DataFrame:
     """Join documents to one small row per document (doc, and perhaps spans).
 
     The size the small side takes in memory is counted first: under ``limit`` it is

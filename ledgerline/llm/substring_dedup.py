@@ -34,28 +34,26 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise, ship, shuffle_width
 from ledgerline.llm import blocks
-from ledgerline.llm.kernels import U64, Rolling, mix64, pieces, signed, word_hashes, words
+from ledgerline.llm.kernels import U64, Rolling, mix64, pieces, word_hashes, words
 
 LENGTH, PHRASE = 35, 18
 
 
 def _index(length: int, phrase: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for i, j, raw, offs in pieces(batch.column("text")):
                 start, end, first = words(raw, offs)
-                cut = blocks.cut_blocks(word_hashes(raw, start, end), first, length, phrase)
-                if len(cut[0]):
-                    yield blocks.block_batch(doc[i:j], cut)
+                yield blocks.block_rows(doc[i:j], blocks.cut_blocks(word_hashes(raw, start, end), first, length, phrase))
 
-    return run
+    return lambda batches: blocks.combined(cut(batches))
 
 
 def _windows(length: int):
     """Boundary blocks' windows as rows of the index's own form: key and content are the two halves of a window's hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             flat, at = blocks.span_lists(batch.column("spans"))
@@ -75,14 +73,10 @@ def _windows(length: int):
                 fits = begin + length <= first[wrow + 1]
                 where, wrow, copies, begin = where[fits], wrow[fits], copies[fits], begin[fits]
                 key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length))
-                twice = np.flatnonzero(copies)  # their content is known to stand at another place
-                pick = np.concatenate([np.arange(len(key)), twice])
-                yield pa.RecordBatch.from_arrays(
-                    [signed(key[pick]), signed(content[pick]), pa.array(doc[i:j][wrow[pick]]), pa.array(where[pick].astype(np.int32)), pa.array(np.ones(len(pick), np.int32))],
-                    names=["key", "content", "doc", "start", "n"],
-                )
+                # weight 2: their content is known to stand at another place
+                yield key, content, doc[i:j][wrow], where, np.ones(len(where), np.int64), 1 + copies.astype(np.int64)
 
-    return run
+    return lambda batches: blocks.combined(cut(batches))
 
 
 def _remove(length: int):

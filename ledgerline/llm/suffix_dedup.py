@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise, ship, shuffle_width
 from ledgerline.llm import blocks
-from ledgerline.llm.kernels import BYTE_VALUE, U64, Rolling, mix64, pieces, signed
+from ledgerline.llm.kernels import BYTE_VALUE, U64, Rolling, mix64, pieces
 from ledgerline.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 24
@@ -42,15 +42,13 @@ PLACE = "doc long, start int, n int"
 
 
 def _index(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for i, j, raw, offs in pieces(batch.column("text")):
-                cut = blocks.cut_blocks(BYTE_VALUE[raw], offs, length, gram)
-                if len(cut[0]):
-                    yield blocks.block_batch(doc[i:j], cut)
+                yield blocks.block_rows(doc[i:j], blocks.cut_blocks(BYTE_VALUE[raw], offs, length, gram))
 
-    return run
+    return lambda batches: blocks.combined(cut(batches))
 
 
 def _located(batch: pa.RecordBatch, length: int):
@@ -88,19 +86,17 @@ def _strings(length: int):
 
 
 def _windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for i, j, raw, offs, s, m, _, row in _located(batch, length):
                 one, two = Rolling(BYTE_VALUE[raw]), Rolling(mix64(BYTE_VALUE[raw]))
                 where, wrow = _spread(s, m), np.repeat(row, m)
                 begin = where + offs[wrow]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(mix64(one.ranges(begin, begin + length))), signed(mix64(two.ranges(begin, begin + length) ^ U64(length))), pa.array(doc[i:j][wrow]), pa.array(where.astype(np.int32)), pa.array(np.ones(len(where), np.int32))],
-                    names=["key", "content", "doc", "start", "n"],
-                )
+                key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length) ^ U64(length))
+                yield key, content, doc[i:j][wrow], where, np.ones(len(where), np.int64), np.ones(len(where), np.int64)
 
-    return run
+    return lambda batches: blocks.combined(cut(batches))
 
 
 def later_copies(doc: np.ndarray, start: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
