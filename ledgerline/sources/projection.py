@@ -6,9 +6,11 @@ queries and their oracles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.sources.tables import register
+from ledgerline.sources.tables import TABLES, register
 
 DECLS = """
 SELECT 'region.' || CAST(r_regionkey AS STRING) AS name, 'region' AS module, 'region' AS kind, 'region' AS library FROM region
@@ -51,6 +53,6 @@ FROM part, (SELECT count(*) AS n FROM part) AS sized WHERE p_partkey <> (p_partk
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A DataFrame of projection SQL over the tables of a folder."""
-    register(spark, sf_dir)
+    """A DataFrame of projection SQL over the tables of a folder; only those it names are opened."""
+    register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN|,) {t}\b", sql)])
     return spark.sql(sql)

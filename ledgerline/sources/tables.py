@@ -15,7 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_VIEWS: dict[tuple, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose tables as temporary views for SQL queries."""
+    """Expose tables as temporary views for SQL queries; a view that already stands for the folder is left alone."""
+    session = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if _VIEWS.get((*session, name)) != sf_dir:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            _VIEWS[(*session, name)] = sf_dir
