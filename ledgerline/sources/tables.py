@@ -22,6 +22,6 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose tables as temporary views for SQL queries; a view that already stands for the folder is left alone."""
     session = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
     for name in names:
-        if _VIEWS.get((*session, name)) != sf_dir:
+        if _VIEWS.get((*session, name)) != sf_dir or not spark.catalog.tableExists(name):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
             _VIEWS[(*session, name)] = sf_dir
