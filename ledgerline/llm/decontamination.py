@@ -7,6 +7,11 @@ is a query. WAND's bound (the sum of its terms' maxima) drops a passage that can
 the threshold with any item; the block maxima drop whole blocks of items for it; what is
 left is scored. All passages above the threshold are retrieved, there is no top-k cut.
 
+An item longer than a passage is indexed as a whole and in parts of a passage's length,
+each with impacts divided by its own score. Two neighbouring passages of a document cover
+every part it holds word for word, so one of them scores at least half of it: retrieval
+doesn't depend on an item's length. An item's score is the best of its entries.
+
 A retrieved (document, item) is verified: the share of the item's question n-grams and of
 its answer n-grams that the document holds. An item's text is split at a sentence end: its
 last sentences, of eight words at least, are the answer, what stands before is the
@@ -47,9 +52,10 @@ SPLIT = re.compile(r"[.?!]\s+(?=\S)")
 @dataclass
 class Index:
     ids: list
+    item: np.ndarray  # the item of each entry of the blocks: an item as a whole, or a part of a long one
     terms: np.ndarray  # sorted hashes
     bound: np.ndarray  # greatest impact of each term, and a zero for words outside
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # terms of a block of items, their maxima, their impacts
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # terms of a block of entries, their maxima, their impacts
     question: list[tuple[int, np.ndarray]]  # order and hashes of an item's n-grams
     answer: list[tuple[int, np.ndarray]]
 
@@ -95,6 +101,12 @@ def halves(text: str) -> tuple[str, str]:
     return (text[:at], text[at:]) if at > 0 else (text, "")
 
 
+def item_parts(values: np.ndarray) -> list[np.ndarray]:
+    """Parts of a passage's length that cover an item longer than that; the last one ends with the item."""
+    size = len(values)
+    return [values[lo : lo + PASSAGE] for lo in (*range(0, size - PASSAGE, PASSAGE), size - PASSAGE)] if size > PASSAGE else []
+
+
 def build(items: list[tuple[int, str]]) -> Index:
     items = [(i, t) for i, t in items if t and t.split()]
     bags = _terms_of_strings([t for _, t in items])
@@ -103,15 +115,18 @@ def build(items: list[tuple[int, str]]) -> Index:
     counted = [np.unique(np.searchsorted(terms, x), return_counts=True) for x in bags]
     df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=len(terms)) if bags else np.zeros(0)
     idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    postings = []
+    postings, item = [], []
     for d, (t, n) in enumerate(counted):
         impact = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / length.mean()))
-        postings.append((t, impact / max(1e-9, float(impact.sum()))))
+        for own in (np.arange(len(t)), *(np.searchsorted(t, np.searchsorted(terms, part)) for part in item_parts(bags[d]))):
+            own = np.unique(own)
+            postings.append((t[own], impact[own] / max(1e-9, float(impact[own].sum()))))
+            item.append(d)
     bound = np.zeros(len(terms) + 1)
     for t, x in postings:
         np.maximum.at(bound, t, x)
     blocks = []
-    for lo in range(0, len(items), BLOCK):
+    for lo in range(0, len(postings), BLOCK):
         own = np.unique(np.concatenate([t for t, _ in postings[lo : lo + BLOCK]]))
         impacts = np.zeros((len(own) + 1, BLOCK))
         for d, (t, x) in enumerate(postings[lo : lo + BLOCK]):
@@ -119,7 +134,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         blocks.append((own, impacts.max(1), impacts))
     parts = [halves(t) for _, t in items]
     return Index(
-        [i for i, _ in items], terms, bound, blocks, [part_grams(v) for v in _terms_of_strings([q for q, _ in parts])], [part_grams(v) for v in _terms_of_strings([a for _, a in parts])]
+        [i for i, _ in items], np.array(item, np.int64), terms, bound, blocks, [part_grams(v) for v in _terms_of_strings([q for q, _ in parts])], [part_grams(v) for v in _terms_of_strings([a for _, a in parts])]
     )
 
 
@@ -158,7 +173,7 @@ def retrieve(index: Index, values: np.ndarray, first: np.ndarray, threshold: flo
             if len(hot):
                 scores = impacts[local[hot]].sum(1)
                 q, d = np.nonzero(scores >= threshold)
-                found.append((row[p[hot[q]]], d + block * BLOCK, scores[q, d]))
+                found.append((row[p[hot[q]]], index.item[d + block * BLOCK], scores[q, d]))
     if not found:
         return none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -83,6 +84,18 @@ def test_decontamination(spark):
     assert want <= chunked
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(7)
+    weights = [1 / (i + 1) for i in range(5000)]
+    said = lambda n: " ".join(f"w{x}" for x in rng.choices(range(5000), weights, k=n))
+    sizes = (40, 65, 120, 220, 260, 400, 1000)
+    items = [(i, said(n)) for i, n in enumerate(sizes)] + [(100 + i, said(50)) for i in range(60)]
+    rows = [(i, f"{said(37 * i + 11)} {items[i][1]} {said(90)}") for i in range(len(sizes))] + [(50 + i, said(300)) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(i, i) for i in range(len(sizes))}
+
+
 def test_mixing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = mixing.mix(docs).toPandas()
