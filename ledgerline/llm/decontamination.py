@@ -19,7 +19,9 @@ question; a text without such an end is split in the middle.
 
 Scale: one scan of the text without a shuffle. The index is built from the benchmark in
 chunks of at most ``CHUNK`` bytes of item text, each broadcast with that bound; a larger
-benchmark takes more scans, not more memory. Verified hits are summed per (doc, item).
+benchmark takes more scans, not more memory. Item counts of terms, the number of items
+and their mean length are taken over the whole benchmark once, so a chunk scores as one
+index would. Verified hits are summed per (doc, item).
 
 Defined cases: null text has no passages; an item without words is never found; items or
 documents that repeat are reported each; fewer words than an n-gram: the whole sequence is
@@ -37,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import ship
-from ledgerline.llm.kernels import U64, Rolling, mix64, pieces, string_parts, word_hashes, words
+from ledgerline.functions.session import materialise, ship
+from ledgerline.llm.kernels import U64, Rolling, mix64, pieces, signed, string_parts, word_hashes, words
 
 PASSAGE, STRIDE = 64, 32
 THRESHOLD, OVERLAP, GRAM = 0.35, 0.5, 5
@@ -107,17 +109,45 @@ def item_parts(values: np.ndarray) -> list[np.ndarray]:
     return [values[lo : lo + PASSAGE] for lo in (*range(0, size - PASSAGE, PASSAGE), size - PASSAGE)] if size > PASSAGE else []
 
 
-def build(items: list[tuple[int, str]]) -> Index:
+@dataclass
+class Statistics:
+    """Of all items of a benchmark; ``df`` belongs to the sorted ``terms``, which hold an index's terms at least."""
+
+    items: int
+    words: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, items, words): a row per item and term; the item itself and its words are counted with its first term."""
+    for batch in batches:
+        for _, _, raw, offs in pieces(batch.column("text")):
+            values, first = terms_of(raw, offs)
+            bags = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            size = np.zeros(sum(map(len, bags)), np.int64)
+            some = np.array([len(x) for x in bags], np.int64)
+            size[(np.cumsum(some) - some)[some > 0]] = np.diff(first)[some > 0]
+            term = np.concatenate(bags) if bags else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([signed(term), pa.array((size > 0).astype(np.int64)), pa.array(size)], names=["term", "items", "words"])
+
+
+def build(items: list[tuple[int, str]], statistics: Statistics | None = None) -> Index:
+    """The index of some items; without statistics they are the whole benchmark."""
     items = [(i, t) for i, t in items if t and t.split()]
     bags = _terms_of_strings([t for _, t in items])
     terms = np.unique(np.concatenate(bags)) if bags else np.zeros(0, U64)
     length = np.array([len(x) for x in bags], float)
     counted = [np.unique(np.searchsorted(terms, x), return_counts=True) for x in bags]
-    df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=len(terms)) if bags else np.zeros(0)
-    idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+    if statistics is None:
+        df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=len(terms)) if bags else np.zeros(0)
+        statistics = Statistics(len(items), int(length.sum()), terms, df)
+    df = statistics.df[np.searchsorted(statistics.terms, terms)]
+    mean = statistics.words / max(1, statistics.items)
+    idf = np.log(1 + (statistics.items - df + 0.5) / (df + 0.5))
     postings, item = [], []
     for d, (t, n) in enumerate(counted):
-        impact = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / length.mean()))
+        impact = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / mean))
         for own in (np.arange(len(t)), *(np.searchsorted(t, np.searchsorted(terms, part)) for part in item_parts(bags[d]))):
             own = np.unique(own)
             postings.append((t[own], impact[own] / max(1e-9, float(impact[own].sum()))))
@@ -217,18 +247,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out, held, size = None, [], 0
-
-    def search():
-        index_of = spark.sparkContext.broadcast(build(held))
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    out, held, size, counts, total = None, [], 0, None, None
+
+    def search(last: bool):
+        nonlocal counts, total
+        if last and out is None:
+            index = build(held)
+        else:
+            if counts is None:
+                found = asked.select("text").mapInArrow(_item_terms, "term long, items long, words long")
+                counts = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("items").alias("items"), F.sum("words").alias("words")), "op3-terms")
+                total = counts.agg(F.sum("items"), F.sum("words")).first()
+            own = np.unique(np.concatenate(_terms_of_strings([t for _, t in held])))
+            wanted = spark.createDataFrame(pa.table({"term": signed(own)}))
+            df = counts.join(F.broadcast(wanted), "term").select("term", "df").toArrow()
+            term, n = df["term"].to_numpy().view(U64), df["df"].to_numpy()
+            by = np.argsort(term)
+            index = build(held, Statistics(total[0] or 0, total[1] or 0, term[by], n[by]))
+        index_of = spark.sparkContext.broadcast(index)
         return given.mapInArrow(_search(index_of, threshold, overlap), HIT)
 
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += len(r.text)
+    for r in asked.orderBy("item_id", "text").toLocalIterator():
         if size >= chunk:
-            out = search() if out is None else out.unionByName(search())
+            out = search(False) if out is None else out.unionByName(search(False))
             held, size = [], 0
-    if held or out is None:
-        out = search() if out is None else out.unionByName(search())
-    return out
+        held.append((r.item_id, r.text))
+        size += len(r.text)
+    return search(True) if out is None else out.unionByName(search(True))

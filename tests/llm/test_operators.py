@@ -96,6 +96,17 @@ def test_decontamination_of_long_items(spark):
     assert got == {(i, i) for i in range(len(sizes))}
 
 
+def test_decontamination_chunks_score_as_one_index(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
+    bench = bench.unionByName(spark.createDataFrame([(None, "  "), (10_000, docs.first().text)], "item_id long, text string"))
+    results = []
+    for chunk in (decontamination.CHUNK, 2000):
+        rows = decontamination.contaminated(docs, bench, chunk=chunk).collect()
+        results.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in rows))
+    assert results[0] and results[0] == results[1]
+
+
 def test_mixing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = mixing.mix(docs).toPandas()
