@@ -106,12 +106,25 @@ def marked_lines(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def excerpts(quotes: DataFrame, files: DataFrame, gram: int = 5) -> DataFrame:
-    """(quote_id, path): files whose squeezed text holds the squeezed quote. They meet on word n-grams of the quote's start, then the text decides."""
-    def grams(column: str, every: bool) -> Column:
-        words = F.split(squeezed(F.lower(column)), " ")
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - gram + 1, F.lit(1))) if every else F.array(F.lit(2))
-        return F.explode(F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, gram)))))
-
-    asked = quotes.select("quote_id", squeezed(F.col("text")).alias("quote"), grams("text", False).alias("gram"))
-    held = files.select("path", squeezed(F.col("text")).alias("body"), grams("text", True).alias("gram"))
-    return held.join(asked, "gram").where(F.col("body").contains(F.col("quote"))).select("quote_id", "path").distinct()
+    """(quote_id, path): files whose squeezed text holds the squeezed quote. They meet on the word n-grams after the quote's first word, then the text decides.
+
+    A quote's outer words may be parts of a file's words, so only those between them make
+    its n-gram, ``gram`` words at most; files give n-grams of each length that quotes ask
+    for. Quotes of one or two words have no inner word and are held against every file.
+    """
+    def words(column: str) -> Column:
+        return F.split(squeezed(F.lower(column)), " ")
+
+    def grams(n: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size("words") - n + 1)
+        return F.when(F.size("words") >= n, F.transform(at, lambda i: F.concat_ws(" ", F.slice("words", i, n)))).otherwise(F.array().cast("array<string>"))
+
+    asked = quotes.select("quote_id", squeezed(F.col("text")).alias("quote"), words("text").alias("words")).withColumn("n", F.least(F.size("words") - 2, F.lit(gram)))
+    inner = asked.where("n > 0").select("quote_id", "quote", F.concat_ws(" ", F.slice("words", F.lit(2), F.col("n"))).alias("gram"))
+    sizes = sorted(r.n for r in asked.where("n > 0").select("n").distinct().collect())
+    body = files.select("path", squeezed(F.col("text")).alias("body"), words("text").alias("words"))
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(F.lit(n)) for n in sizes]))
+    held = body.select("path", "body", F.explode(every).alias("gram"))
+    long = held.join(inner, "gram").where(F.col("body").contains(F.col("quote"))).select("quote_id", "path")
+    short = body.join(asked.where("n <= 0").select("quote_id", "quote"), F.col("body").contains(F.col("quote"))).select("quote_id", "path")
+    return long.unionByName(short).distinct()

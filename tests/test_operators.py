@@ -135,3 +135,16 @@ def test_streams(spark, what):
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     out = extensions.drain(extensions.session_clusters(extensions.journal(spark, folder, schema, "events.parquet")), "clusters")
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_excerpts_of_every_length(spark):
+    said = "It was the Best of times,  it was\nthe worst of times, and then some more words came."
+    texts = {"a": said, "b": "the worst", "c": "times", "d": "", "e": "unrelated text of a good many words that holds no such thing"}
+    flat = {p: " ".join(t.split()) for p, t in texts.items()}
+    given = flat["a"].split()
+    quotes = [" ".join(given[i : i + n]) for n in range(1, 9) for i in range(len(given) - n + 1)]
+    quotes += ["est of times, it w", "as the B", "imes, i", "mes", "no such words", "of a good many words that holds no such thin"]
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, text string")
+    got = {(r.quote_id, r.path) for r in textaudit.excerpts(asked, files).collect()}
+    assert got == {(i, p) for i, q in enumerate(quotes) for p, t in flat.items() if q in t}
