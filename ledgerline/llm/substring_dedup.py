@@ -1,14 +1,13 @@
-"""Substring dedup over words by relative Lempel-Ziv parsing.
-
-Every document is a reference for every other. Its text is cut into reference blocks at
-places its content chooses (``blocks``), and all blocks of all documents are indexed. A
-document is parsed greedily against that index, left to right: a block whose content
-the index holds at another place extends the current copy factor; a block that shares a
-key but not its content may hold a factor's end; any other block is a literal. Factors
-are runs of windows of ``length`` words, so each is sufficiently long by construction.
-At factor boundaries, where a copy runs out inside a block, every window of the block is
-checked against the windows of the blocks it shares its key with, by a 128-bit hash of
-the window's words. The removed words are those the factors cover.
+"""Substring dedup over words by hashes of content-cut blocks and of windows.
+
+This stands in place of relative Lempel-Ziv parsing: there are no factors with a source
+and no longest-match extension, as the result needs only which words are covered. Every
+document's text is cut into blocks at places its content chooses (``blocks``), and all
+blocks of all documents are grouped by hash. A block whose content stands at another
+place is repeated as a whole; of a block that shares its key but not its content every
+window of ``length`` words is checked against the windows of the blocks it shares its key
+with, by a 128-bit hash of the window's words. Runs of repeated windows are merged, and
+the words they cover are removed.
 
 Scale: three scans of the text and no shuffle of it: what moves is one 32-byte row per
 block, then one per window of boundary blocks, then one list of spans per document with
