@@ -2,15 +2,16 @@
 
 A text is cut where its own characters say so (a boundary pair between a minimum
 and a maximum length), so equal passages give equal chunks wherever they stand.
-A chunk's short identifier is a 64-bit hash; identifiers are *verified* over the
-whole corpus against the chunk's SHA-256 words and length, and one that stands for
-two contents is replaced by the digest itself. A document becomes the ordered list
-of its chunk identifiers, its recipe. Equal recipes are equal texts; after the one
-scan that cuts them no text moves again, only recipes do.
+A chunk's identifier is a 64-bit hash; identifiers are *verified* over the whole corpus
+against the chunk's length and 128 bits of its SHA-256, and where one stands for two
+contents, those bits join it. A document becomes the ordered list of its chunks'
+identifiers, its recipe. Equal recipes are equal texts; after the one scan that cuts them
+no text moves again, only recipes do.
 
-Scale: one scan, one aggregation keyed by chunk (combined map-side, so a hot chunk
-is one row per task), one aggregation and one join keyed by recipe (AQE splits a
-recipe that a third of all rows share). Nothing is broadcast by hint.
+Scale: one scan, one aggregation keyed by chunk (fixed-width buffers, combined map-side, so
+a hot chunk is one row per task), one aggregation keyed by recipe over two narrow columns,
+and one join by recipe (AQE splits a recipe that a third of all rows share). Nothing is
+broadcast by hint.
 
 Defined cases: null text counts as empty; empty texts are equal to one another; a
 text shorter than the minimum is one chunk; ties on ``doc_id`` keep every row with
@@ -20,6 +21,8 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,46 +42,46 @@ def chunks(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _words_of(digest: Column) -> list[Column]:
-    """A SHA-256 hex digest as five integers, so that min and max aggregate in fixed-width buffers."""
-    return [F.conv(F.substring(digest, 1 + 13 * k, 13), 16, 10).cast("long") for k in range(5)]
-
-
-def recipes(docs: DataFrame, pattern: str) -> DataFrame:
-    """A row number, doc_id, text_sha256, n_bytes and the list of (identifier, digest) of the chunks."""
+def recipes(docs: DataFrame, pattern: str, identifier: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, the text's digest, and of its chunks: identifiers, lengths, and two longs from their SHA-256."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.transform(chunks(text, pattern), lambda c: F.struct(F.xxhash64(c).alias("id"), F.sha2(c, 256).alias("digest"), F.octet_length(c).alias("n")))
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("n_bytes"), cut.alias("cut"))
+    cut = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), chunks(text, pattern).alias("cut"))
+    sha = lambda c: F.sha2(c, 256)
+    return cut.select(
+        "doc_id", "digest", F.transform("cut", identifier).alias("ids"), F.transform("cut", lambda c: F.octet_length(c)).alias("n"), F.transform("cut", lambda c: F.xxhash64(sha(c))).alias("v"), F.transform("cut", lambda c: F.xxhash64(F.lit(1), sha(c))).alias("w")
+    )
 
 
 def clashing(cut: DataFrame) -> DataFrame:
-    """Short identifiers that stand for more than one chunk content."""
-    one = cut.select(F.explode("cut").alias("c")).select(F.col("c.id").alias("id"), F.col("c.n").alias("n"), *[w.alias(f"w{k}") for k, w in enumerate(_words_of(F.col("c.digest")))])
-    seen = one.groupBy("id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("n", "w0", "w1", "w2", "w3", "w4") for f in (F.min, F.max)])
-    differs = F.lit(False)
-    for c in ("n", "w0", "w1", "w2", "w3", "w4"):
-        differs = differs | (F.col(f"{c}_min") != F.col(f"{c}_max"))
-    return seen.where(differs).select("id")
+    """Identifiers that stand for more than one chunk content."""
+    one = cut.select(F.explode(F.arrays_zip("ids", "n", "v", "w")).alias("c")).select("c.*")
+    seen = one.groupBy("ids").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("n", "v", "w") for f in (F.min, F.max)])
+    return seen.where("n_min < n_max or v_min < v_max or w_min < w_max").select(F.col("ids").alias("id"))
 
 
-def exact_dedup(docs: DataFrame, pattern: str | None = None) -> DataFrame:
+def short_id(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
+def exact_dedup(docs: DataFrame, pattern: str | None = None, identifier: Callable[[Column], Column] = short_id) -> DataFrame:
     """Groups of documents whose recipes are equal.
 
     Returns doc_id, keep_id (the largest doc_id of the group), group_size, kept,
     text_sha256, n_chunks: one row per input row.
     """
-    cut = materialise(recipes(docs, pattern or chunk_pattern()), "op10-recipes")
-    bad = clashing(cut).withColumn("clash", F.lit(True))
-    # Documents holding an unverified identifier write that chunk's digest into the recipe instead.
-    docs_hit = cut.select("row", F.explode("cut.id").alias("id")).join(bad, "id").groupBy("row").agg(F.collect_set("id").alias("clashes"))
-    recipe = F.transform("cut", lambda c: F.when(F.array_contains(F.col("clashes"), c["id"]), c["digest"]).otherwise(F.hex(c["id"])))
-    plain = F.transform("cut", lambda c: F.hex(c["id"]))
-    listed = cut.join(docs_hit, "row", "left").select(
-        "doc_id", "text_sha256", "n_bytes", F.concat_ws(",", F.when(F.col("clashes").isNull(), plain).otherwise(recipe)).alias("recipe"), F.size("cut").cast("long").alias("n_chunks")
-    )
+    cut = materialise(recipes(docs, pattern or chunk_pattern(), identifier), "op10-recipes")
+    bad = materialise(clashing(cut), "op10-clashes")
+    if bad.isEmpty():
+        listed = cut.select("doc_id", "digest", F.size("ids").alias("n"), F.col("ids").alias("recipe"))
+    else:
+        # An unverified identifier is followed by its chunk's digest bits and length.
+        numbered = cut.withColumn("row", F.monotonically_increasing_id())
+        hit = numbered.select("row", F.explode("ids").alias("id")).join(bad, "id").groupBy("row").agg(F.collect_set("id").alias("clashes"))
+        whole = F.flatten(F.transform(F.arrays_zip("ids", "n", "v", "w"), lambda c: F.when(F.array_contains("clashes", c["ids"]), F.array(c["ids"], c["v"], c["w"], c["n"].cast("long"))).otherwise(F.array(c["ids"]))))
+        listed = numbered.join(hit, "row", "left").select("doc_id", "digest", F.size("ids").alias("n"), F.when(F.col("clashes").isNull(), F.col("ids")).otherwise(whole).alias("recipe"))
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return listed.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256", "n_chunks"
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("n").cast("long").alias("n_chunks")
     )
 
 
