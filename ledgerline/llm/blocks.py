@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.session import materialise
 from ledgerline.llm.kernels import U64, Rolling, mix64, row_starts, signed, sliding_min
 
-#: Documents without an id count as one document with the least id.
+#: Documents without an id stand before all others.
 NO_ID = -(1 << 63)
-BLOCK_SCHEMA = "key long, content long, doc long, start int, n int, weight int"
-CLASS_SCHEMA = "key long, doc long, start int, n int, copies int, first boolean, mixed boolean"
+BLOCK_SCHEMA = "key long, content long, doc long, row long, start int, n int, weight int"
+CLASS_SCHEMA = "key long, doc long, row long, start int, n int, copies int, first boolean, mixed boolean"
 #: Windows in one packed span.
 MOST = (1 << 24) - 1
 
@@ -49,17 +50,18 @@ def cut_blocks(values: np.ndarray, first: np.ndarray, length: int, k: int) -> tu
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(at)))
     start = at[head]
-    content = mix64(rolled.ranges(start, start + size + length - 1) ^ size.astype(U64))
+    # over the grams, not the units: sums of units cancel out for some patterns of two units
+    content = mix64(Rolling(gram).ranges(start, start + size + length - k) ^ size.astype(U64))
     return key[head], content, row[head], start - first[:-1][row[head]], size
 
 
 #: Rows that a task combines before it sends them.
 COMBINED = 1 << 18
-NAMES = ["key", "content", "doc", "start", "n", "weight"]
+NAMES = ["key", "content", "doc", "row", "start", "n", "weight"]
 
 
 def combined(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, content, doc, start, n, weight) of many chunks, equal contents of a task combined.
+    """Rows (key, content, doc, row, start, n, weight) of many chunks, equal contents of a task combined.
 
     Of equal contents only the first goes on, with weight 2; the others are known to be
     copies of something earlier and get weight 0: they needn't meet the rest of their key.
@@ -68,15 +70,15 @@ def combined(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
     size = 0
 
     def flush():
-        key, content, doc, start, n, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((start, doc, n, content, key))
-        key, content, doc, start, n, weight = (x[by] for x in (key, content, doc, start, n, weight))
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        by = np.lexsort((columns[4], columns[3], columns[2], columns[5], columns[1], columns[0]))
+        key, content, doc, row, start, n, weight = (x[by] for x in columns)
         head = np.ones(len(key), bool)
         head[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (n[1:] != n[:-1])
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = (doc != doc[lead]) | (start != start[lead])
+        later = (doc != doc[lead]) | (row != row[lead]) | (start != start[lead])
         weight = np.where(head, np.minimum(np.add.reduceat(weight, np.flatnonzero(head))[np.cumsum(head) - 1], 2), np.where(later, 0, weight))
-        whole = pa.RecordBatch.from_arrays([signed(key), signed(content), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(weight.astype(np.int32))], names=NAMES)
+        whole = pa.RecordBatch.from_arrays([signed(key), signed(content), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(weight.astype(np.int32))], names=NAMES)
         return [whole.slice(i, 1 << 15) for i in range(0, whole.num_rows, 1 << 15)]
 
     for chunk in chunks:
@@ -90,9 +92,9 @@ def combined(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
         yield from flush()
 
 
-def block_rows(doc: np.ndarray, cut: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+def block_rows(doc: np.ndarray, number: np.ndarray, cut: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     key, content, row, start, size = cut
-    return key, content, doc[row], start, size, np.ones(len(key), np.int64)
+    return key, content, doc[row], number[row], start, size, np.ones(len(key), np.int64)
 
 
 def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +108,13 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     extra, was_mixed = 0, False
 
     def out(cols, copies, first, mixed, keep):
-        key, _, doc, start, n = (c[keep] for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), pa.array(n), pa.array(np.minimum(copies[keep], 2).astype(np.int32)), pa.array(first[keep]), pa.array(mixed[keep])], names=["key", "doc", "start", "n", "copies", "first", "mixed"])
+        key, _, doc, row, start, n = (c[keep] for c in cols)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(row), pa.array(start), pa.array(n), pa.array(np.minimum(copies[keep], 2).astype(np.int32)), pa.array(first[keep]), pa.array(mixed[keep])], names=["key", "doc", "row", "start", "n", "copies", "first", "mixed"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         weight = cols.pop()
         if not weight.all():
             passed = weight == 0
@@ -125,7 +127,7 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             weight = np.concatenate([[1], weight])
         else:
             extra, was_mixed = 0, False
-        key, content, size = cols[0], cols[1], cols[4]
+        key, content, size = cols[0], cols[1], cols[5]
         new_key = np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
         new_run = new_key.copy()
@@ -138,7 +140,7 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         runs[0] += was_mixed
         copies, mixed = run_n[run], runs[group] > 1
         head = np.flatnonzero(new_run)[run]
-        is_first = (cols[2] == cols[2][head]) & (cols[3] == cols[3][head])  # a repeated row stands where the first does
+        is_first = (cols[2] == cols[2][head]) & (cols[3] == cols[3][head]) & (cols[4] == cols[4][head])
         last = int(np.flatnonzero(new_run)[-1])
         keep = (copies > 1) | mixed
         keep[last] = False
@@ -152,13 +154,30 @@ def classify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def classify(rows: DataFrame, width: int) -> DataFrame:
     """The shared rows of a table of blocks; see ``classify_stream``."""
-    deal = F.when(F.col("weight") > 0, F.col("key")).otherwise(F.xxhash64("doc", "start"))
-    return rows.repartition(width, deal).sortWithinPartitions("key", "content", "n", "doc", "start").mapInArrow(classify_stream, CLASS_SCHEMA)
+    deal = F.when(F.col("weight") > 0, F.col("key")).otherwise(F.xxhash64("doc", "row", "start"))
+    return rows.repartition(width, deal).sortWithinPartitions("key", "content", "n", "doc", "row", "start").mapInArrow(classify_stream, CLASS_SCHEMA)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own in ``row``, the same in every scan: file and place of a plain file scan; else the rows are written with numbers."""
+    if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
+        return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file long, path string")
+    placed = docs.withColumns({"path": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")})
+    return placed.join(F.broadcast(files), "path").select(*docs.columns, (F.shiftleft("file", 40) + F.col("place")).alias("row"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text) with nulls settled: no id is the least id, no text is empty."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """(doc, row, text) with nulls settled: no id is the least id, no text is empty.
+
+    ``row`` tells rows of one id apart and orders them. It is 0 where every id stands once,
+    which is counted first, over the ids alone.
+    """
+    docs = docs.select("doc_id", "text")
+    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
+    row = numbered(docs) if repeats else docs.withColumn("row", F.lit(0).cast("long"))
+    return row.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "row", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def packed(flag: Column | None = None) -> Column:
@@ -198,17 +217,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, e, r = s[again] + k * MOST, np.minimum(e[again], s[again] + (k + 1) * MOST), r[again]
         offsets = np.searchsorted(r, np.arange(len(at))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(((s - r * apart) << 25) | ((e - s) << 1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), lists], names=["doc", "row", "spans"])
 
 
 def merged_lists(spans: DataFrame) -> DataFrame:
-    """(doc, spans): per document its spans (doc, start, n), overlapping and touching ones made one, packed."""
-    lists = spans.groupBy("doc").agg(F.collect_list(packed()).alias("spans"))
-    return lists.mapInArrow(_merge, "doc long, spans array<long>")
+    """(doc, row, spans): per document its spans (doc, row, start, n), overlapping and touching ones made one, packed."""
+    lists = spans.groupBy("doc", "row").agg(F.collect_list(packed()).alias("spans"))
+    return lists.mapInArrow(_merge, "doc long, row long, spans array<long>")
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 64 << 20) -> DataFrame:
-    """Join documents to one small row per document (doc, and perhaps spans).
+def with_lists(docs: DataFrame, lists: DataFrame, how: str, on: tuple = ("doc", "row"), limit: int = 64 << 20) -> DataFrame:
+    """Join documents to one small row per document (doc, row, and perhaps spans).
 
     The size the small side takes in memory is counted first: under ``limit`` it is
     broadcast, beyond it both sides are shuffled by document.
@@ -216,4 +235,4 @@ def with_lists(docs: DataFrame, lists: DataFrame, how: str, limit: int = 64 << 2
     entries = F.sum(F.size("spans")) if "spans" in lists.columns else F.lit(0)
     rows, entries = lists.agg(F.count(F.lit(1)), F.coalesce(entries, F.lit(0))).first()
     side = F.broadcast(lists) if 64 * rows + 8 * entries <= limit else lists
-    return docs.join(side, "doc", how)
+    return docs.join(side, list(on), how)

@@ -21,6 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_places = np.zeros(0, U64)
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
@@ -120,10 +121,22 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word, the same in every process."""
-    values = BYTE_VALUE[LOWER] if lower else BYTE_VALUE
-    rolled = Rolling(values[raw]).ranges(start, end)
-    return mix64(rolled + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+    """A 64-bit hash of every word, the same in every process: bytes are mixed with their places, so no pattern of bytes cancels out."""
+    global _places
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    upto = np.cumsum(size)
+    place = np.arange(int(upto[-1])) - np.repeat(upto - size, size)
+    longest = int(size.max())
+    if len(_places) < longest:
+        _places = mix64(np.arange(1, 2 * longest + 1024, dtype=U64) * U64(0x8CB92BA72F3D8DD7))
+    x = (BYTE_VALUE[LOWER] if lower else BYTE_VALUE)[raw[np.repeat(start, size) + place]] ^ _places[place]
+    x *= U64(0xFF51AFD7ED558CCD)
+    x ^= x >> U64(32)
+    sums = np.zeros(len(x) + 1, U64)
+    np.cumsum(x, out=sums[1:])
+    return mix64((sums[upto] - sums[upto - size]) + size.astype(U64) * U64(0xA0761D6478BD642F))
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -7,10 +7,10 @@ word by their mean, at reduced weight. A document's scores add up over its words
 score is the posterior of the best language.
 
 Fitting reads only labelled documents outside the held-out fold, at most about
-``SAMPLE_ROWS`` of them, chosen by a hash of their ids (the stated bound of the sample);
-whole texts count. Word and n-gram counts are aggregated in the cluster; the model keeps
-what is seen ``MIN_COUNT`` times, at most ``MODEL_ROWS`` words and as many n-grams, and
-is therefore broadcast with a proven bound (about 16 MB).
+``SAMPLE_ROWS`` of them and of each language at least ``EACH`` (all, if it has fewer),
+chosen by a hash of their ids: the stated bound of the sample. Whole texts count. Word and
+n-gram counts are aggregated in the cluster, and the model keeps every word and n-gram of
+the sample, so that its size is bounded by the sample's texts alone.
 
 Scale: prediction is one scan without a shuffle, vectorised over Arrow batches in pieces
 of bounded size, whole texts.
@@ -35,7 +35,7 @@ from ledgerline.functions.session import materialise, ship
 from ledgerline.llm.kernels import BYTE_VALUE, U64, Rolling, mix64, pieces, string_parts
 
 FOLDS, FOLD = 5, 0
-SAMPLE_ROWS, MODEL_ROWS, MIN_COUNT, ORDER = 20_000, 120_000, 3, 4
+SAMPLE_ROWS, EACH, ORDER = 20_000, 500, 4
 BACKOFF = 0.4
 #: ASCII letters and every byte of a longer character count as letters of a word.
 LETTER = np.zeros(256, bool)
@@ -58,49 +58,43 @@ def _hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64(Rolling(BYTE_VALUE[raw]).ranges(start, end) + (end - start).astype(U64))
 
 
-def _hash_strings(strings: list[str]) -> np.ndarray:
-    raw, offs = string_parts(pa.array(strings, pa.string()))
-    return _hash_ranges(raw, offs[:-1], offs[1:])
-
-
-def _table(rows: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and, per language, log frequency less the mean over languages."""
-    names = sorted({r.unit for r in rows})
-    at = {u: i for i, u in enumerate(names)}
-    count = np.zeros((len(names), len(languages)))
-    for r in rows:
-        count[at[r.unit], languages.index(r.lang)] += r.n
-    if not names:
-        return np.zeros(0, U64), np.zeros((0, len(languages)), np.float32)
-    log = np.log(count + 0.5) - np.log(count.sum(0) + 0.5 * len(names))
-    log -= log.mean(1, keepdims=True)
-    hashes = _hash_strings(names)
-    order = np.argsort(hashes)
-    return hashes[order], log[order].astype(np.float32)
+def _table(counted: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of (lang, unit, n): sorted hashes of the units and, per language, log frequency less the mean over languages."""
+    got = counted.select("unit", F.array_position(F.lit(languages), F.col("lang")).alias("at"), "n").toArrow()
+    units, hashes = got["unit"].combine_chunks(), np.zeros(0, U64)
+    if len(units):
+        raw, offs = string_parts(units)
+        hashes = _hash_ranges(raw[offs[0] :], offs[:-1] - offs[0], offs[1:] - offs[0])
+    keys, row = np.unique(hashes, return_inverse=True)
+    count = np.zeros((len(keys), len(languages)))
+    np.add.at(count, (row, got["at"].to_numpy() - 1), got["n"].to_numpy())
+    # One count is shared out by the languages' sizes, so that a unit a language hasn't says nothing more of a large one than of a small one.
+    total = np.maximum(count.sum(0), 0.5)
+    log = np.log(count + total / total.sum()) - np.log(total)
+    return keys, (log - log.mean(1, keepdims=True)).astype(np.float32)
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
     """The model of the labelled documents outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    total = labelled.count()
-    share = min(1.0, sample_rows / max(1, total))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = sample_rows / max(1, sum(rows.values()))
+    shares = {lang: min(1.0, max(share, EACH / n)) for lang, n in rows.items()}
+    least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(x * (1 << 30)))) for lang, x in shares.items()], F.lit(0))
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < least)
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z\u0080-\x{10FFFF}]+"), F.lit(0))).alias("unit")).groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n"))
     words = materialise(words, "op5-words")
     languages = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     names = sorted(languages)
-
-    def kept(counted: DataFrame, rows: int) -> list:
-        common = counted.groupBy("unit").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_COUNT).orderBy(F.desc("all"), "unit").limit(rows)
-        return counted.join(common, "unit").select("lang", "unit", "n").collect()
-
+    if not names:
+        empty = (np.zeros(0, U64), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros(0), empty, [empty] * order)
     grams = []
     for n in range(order, 0, -1):
         units = F.expr(f"transform(sequence(1, length(unit) - {n - 1}), i -> substring(unit, i, {n}))")
-        counted = words.where(F.length("unit") >= n).select("lang", F.explode(units).alias("unit"), "n").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-        grams.append(_table(kept(counted, MODEL_ROWS // order), names))
-    prior = np.log(np.array([languages[x] for x in names], float) / max(1, sum(languages.values())))
-    return Model(names, prior, _table(kept(words, MODEL_ROWS), names), grams)
+        grams.append(_table(words.where(F.length("unit") >= n).select("lang", F.explode(units).alias("unit"), "n").groupBy("lang", "unit").agg(F.sum("n").alias("n")), names))
+    prior = np.log(np.array([languages[x] for x in names], float) / sum(languages.values()))
+    return Model(names, prior, _table(words, names), grams)
 
 
 def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -173,24 +167,17 @@ def _predict(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         for batch in batches:
-            column, lower = batch.column("text"), batch.column("lowered")
+            letter, lower = batch.column("letter").to_numpy(zero_copy_only=False), batch.column("lowered")
             preds, scores = [], []
             for i, j, raw, offs in pieces(lower):
                 if model.languages:
                     total = score_piece(model, raw, offs)
                     best = total.argmax(1)
                     top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                # rows with an ASCII letter have a letter; for others every character decides
-                plain = np.concatenate([[0], np.cumsum(LETTER[raw] & (raw < 128))])
-                letters = plain[offs[1:]] > plain[offs[:-1]]
+                has = letter[i:j] if model.languages else np.zeros(j - i, bool)
                 for r in range(j - i):
-                    has = letters[r] or any(c.isalpha() for c in column[i + r].as_py() or "")
-                    if has and model.languages:
-                        preds.append(model.languages[int(best[r])])
-                        scores.append(float(top[r]))
-                    else:
-                        preds.append("und")
-                        scores.append(0.0)
+                    preds.append(model.languages[int(best[r])] if has[r] else "und")
+                    scores.append(float(top[r]) if has[r] else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -201,7 +188,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     ship(docs.sparkSession)
     model_of = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    given = given.withColumn("lowered", F.lower("text"))
-    # The text itself is only needed where no ASCII letter shows that there is a letter.
-    given = given.withColumn("text", F.when(F.col("text").rlike("[A-Za-z]"), F.lit("")).otherwise(F.col("text")))
+    given = given.select("doc_id", "held_out", F.col("text").rlike(r"\p{L}").alias("letter"), F.lower("text").alias("lowered"))
     return given.mapInArrow(_predict(model_of), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,18 +1,19 @@
 """A run-compressed Burrows-Wheeler index of a piece of repetitive text, and matching statistics from it.
 
-Suffixes are sorted by prefix doubling in numpy. Of the transform only runs are kept: at
-a run's head and end the suffix array is sampled. A suffix that follows its neighbour
-inside a run has the same character before it as the neighbour, so its longest match is
-that of the position before it less one; only run heads have to be compared. Matching
-statistics are thus streamed through the text from one run head to the next. The more
-repetitive the text, the fewer the runs.
+Suffixes are sorted once, by prefix doubling in numpy, and the order is let go: what the
+index holds is the runs of the transform (symbol and length) and the places of the suffixes
+at each run's head and end. A suffix inside a run has the same character before it as its
+neighbour above, so stepping back in the text keeps the two neighbours: the neighbour of any
+suffix, and the length of its match with it, follow from the last sampled run head before
+it. Matching statistics are thus streamed through the text from one run head to the next,
+and comparing is done for run heads only. The more repetitive the text, the fewer the runs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from ledgerline.llm.kernels import BYTE_VALUE, U64, Rolling
+from ledgerline.llm.kernels import U64, Rolling, mix64
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -24,15 +25,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         key = (key << 10) | wide[i : n + i]
     span = 6
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         step = np.empty(n, np.int64)
         step[0] = 0
         np.cumsum(ranked[1:] != ranked[:-1], out=step[1:])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
         if step[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = step
         ahead = np.zeros(n, np.int64)
         if span < n:
             ahead[: n - span] = rank[span:] + 1
@@ -45,41 +46,54 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray):
         self.text = text
-        self.order = suffix_order(text)
-        before = np.where(self.order > 0, text[self.order - 1].astype(np.int64), -1)
+        order = suffix_order(text)
+        before = np.where(order > 0, text[order - 1].astype(np.int64), -1)
         head = np.ones(len(text), bool)
         head[1:] = before[1:] != before[:-1]
-        self.heads = np.flatnonzero(head)
-        self.ends = np.append(self.heads[1:], len(text)) - 1
-        self.symbols = before[self.heads]
-        self.sample_head, self.sample_end = self.order[self.heads], self.order[self.ends]
+        heads = np.flatnonzero(head)
+        ends = np.append(heads[1:], len(text)) - 1
+        self.symbols, self.lengths = before[heads], ends - heads + 1
+        self.sample_head, self.sample_end = order[heads], order[ends]
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of two suffixes, by bisection over rolling hashes."""
-        rolled = Rolling(BYTE_VALUE[self.text & 255] + (self.text >> 8).astype(U64))
+        """Length of the common prefix of two suffixes, by bisection over rolling hashes of symbols mixed with the next."""
+        value = mix64(self.text.astype(U64) + U64(1))
+        rolled = Rolling(mix64(value + np.append(value[1:], U64(0)) * U64(3)))
+        plain = Rolling(value)
         n = len(self.text)
         low, high = np.zeros(len(a), np.int64), n - np.maximum(a, b)
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            same = rolled.ranges(a, a + mid) == rolled.ranges(b, b + mid)
+            pairs = np.maximum(mid - 1, 0)
+            same = (plain.ranges(a, a + mid) == plain.ranges(b, b + mid)) & (rolled.ranges(a, a + pairs) == rolled.ranges(b, b + pairs))
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def matching_statistics(self) -> np.ndarray:
-        """For every position, the longest match of its suffix with the one sorted before it."""
+    def transform(self) -> np.ndarray:
+        """The whole transform: for every suffix in order the symbol before it, -1 before the text."""
+        return np.repeat(self.symbols, self.lengths)
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every position, the suffix sorted before its own (-1 for none), and the length of their match."""
         n = len(self.text)
         place = self.sample_head
-        length = np.zeros(len(place), np.int64)
+        above, length = np.full(len(place), -1), np.zeros(len(place), np.int64)
         # a run head's neighbour is the end of the run before it
-        length[1:] = self._common(place[1:], self.sample_end[:-1])
+        above[1:] = self.sample_end[:-1]
+        length[1:] = self._common(place[1:], above[1:])
         by = np.argsort(place)
-        place, reach = place[by], (place + length)[by]
+        place, above, length = place[by], above[by], length[by]
         last = np.searchsorted(place, np.arange(n), "right") - 1
-        return np.maximum(reach[last] - np.arange(n), 0)
+        on = np.arange(n) - place[last]
+        neighbour = np.where(above[last] >= 0, above[last] + on, -1)
+        return neighbour, np.where(neighbour >= 0, np.maximum(length[last] - on, 0), 0)
 
     def classes(self, length: int) -> np.ndarray:
-        """For every position, a number that it shares with exactly those whose next ``length`` symbols are the same."""
-        long = self.matching_statistics() >= length
-        number = np.empty(len(self.text), np.int64)
-        number[self.order] = np.cumsum(~long[self.order])
-        return number
+        """For every position, the one position that it shares with exactly those whose next ``length`` symbols are the same."""
+        neighbour, match = self.matching_statistics()
+        to = np.where(match >= length, neighbour, np.arange(len(self.text)))
+        while True:
+            further = to[to]
+            if (further == to).all():
+                return to
+            to = further

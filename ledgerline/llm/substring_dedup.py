@@ -15,9 +15,8 @@ any. The lists are broadcast only when their written size is small, and joined b
 document otherwise. Streams over sorted rows keep constant state per key.
 
 Defined cases: null text has no words; a document shorter than a window keeps all its
-words; nulls in doc_id count as one id, and rows that share an id are taken as versions
-of one document whose removed places are united; repeated rows repeat each other's
-windows and so lose them; an empty table gives no rows.
+words; rows that share a doc_id, or have none, are documents of their own; repeated rows
+repeat each other's windows and so lose them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,10 +40,10 @@ LENGTH, PHRASE = 35, 18
 def _index(length: int, phrase: int):
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
+            doc, number = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for i, j, raw, offs in pieces(batch.column("text")):
                 start, end, first = words(raw, offs)
-                yield blocks.block_rows(doc[i:j], blocks.cut_blocks(word_hashes(raw, start, end), first, length, phrase))
+                yield blocks.block_rows(doc[i:j], number[i:j], blocks.cut_blocks(word_hashes(raw, start, end), first, length, phrase))
 
     return lambda batches: blocks.combined(cut(batches))
 
@@ -54,13 +53,13 @@ def _windows(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
+            doc, number = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             flat, at = blocks.span_lists(batch.column("spans"))
             s, n, c = blocks.unpacked(flat)
             for i, j, raw, offs in pieces(batch.column("text")):
                 start, end, first = words(raw, offs)
                 values = word_hashes(raw, start, end)
-                one, two = Rolling(values), Rolling(mix64(values ^ U64(0x2545F4914F6CDD1D)))
+                one, two = Rolling(values), Rolling(mix64(values[:-1] + mix64(values[1:])))  # of words, and of pairs of words
                 lo, hi = at[i], at[j]
                 if lo == hi:
                     continue
@@ -71,9 +70,9 @@ def _windows(length: int):
                 begin = where + first[wrow]
                 fits = begin + length <= first[wrow + 1]
                 where, wrow, copies, begin = where[fits], wrow[fits], copies[fits], begin[fits]
-                key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length))
+                key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length - 1))
                 # weight 2: their content is known to stand at another place
-                yield key, content, doc[i:j][wrow], where, np.ones(len(where), np.int64), 1 + copies.astype(np.int64)
+                yield key, content, doc[i:j][wrow], number[i:j][wrow], where, np.ones(len(where), np.int64), 1 + copies.astype(np.int64)
 
     return lambda batches: blocks.combined(cut(batches))
 
@@ -103,23 +102,21 @@ def _remove(length: int):
     return run
 
 
-def duplicate_factors(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE) -> DataFrame:
-    """(doc, start, n): runs of n windows from word ``start`` on whose words also stand elsewhere."""
-    text = blocks.of_documents(docs)
-    width = shuffle_width(docs)
+def duplicate_factors(text: DataFrame, width: int, length: int = LENGTH, phrase: int = PHRASE) -> DataFrame:
+    """(doc, row, start, n): runs of n windows from word ``start`` on whose words also stand elsewhere."""
     index = text.mapInArrow(_index(length, phrase), blocks.BLOCK_SCHEMA)
     shared = materialise(blocks.classify(index, width), "op7-blocks")
-    ends = shared.where("mixed and first").groupBy("doc").agg(F.collect_list(blocks.packed(F.col("copies") > 1)).alias("spans"))
+    ends = shared.where("mixed and first").groupBy("doc", "row").agg(F.collect_list(blocks.packed(F.col("copies") > 1)).alias("spans"))
     ends = materialise(ends, "op7-boundaries")
     windows = blocks.with_lists(text, ends, "inner").mapInArrow(_windows(length), blocks.BLOCK_SCHEMA)
     checked = blocks.classify(windows, width).where("copies > 1")
-    return shared.where("copies > 1").select("doc", "start", "n").unionByName(checked.select("doc", "start", "n"))
+    return shared.where("copies > 1").select("doc", "row", "start", "n").unionByName(checked.select("doc", "row", "start", "n"))
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     ship(docs.sparkSession)
-    factors = duplicate_factors(docs, length, phrase)
-    lists = materialise(blocks.merged_lists(factors), "op7-factors")
-    out = blocks.with_lists(blocks.of_documents(docs), lists, "left").mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_sha256 string")
+    text = blocks.of_documents(docs)
+    lists = materialise(blocks.merged_lists(duplicate_factors(text, shuffle_width(docs), length, phrase)), "op7-factors")
+    out = blocks.with_lists(text, lists, "left").mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.when(F.col("doc") != blocks.NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")

@@ -7,18 +7,18 @@ Blocks that share a key but not their content are where copies begin and end: th
 bytes, one string per different content, are routed by key, and each piece of some
 megabytes of them, whole keys together, becomes a run-length Burrows-Wheeler index with
 sampled run ends (``run_index``). Matching statistics streamed from it mark the windows
-that match others; the earliest place of each stays.
+that match others; the earliest place of each stays. Copies of a whole block add nothing to
+the runs of such an index, and so they are settled by their content's hash instead.
 
 Scale: three scans of the text and no shuffle of it: one row per block moves (about one
 in forty bytes), then the bytes of boundary blocks, then one list of spans per document.
 Rows of a key are streamed with constant state. A key whose boundary blocks are more than
-``MEMBERS`` isn't gathered: its windows are routed one by one, by a 128-bit hash of their
-bytes, through the same stream.
+``MEMBERS`` would make an unbounded piece: its windows are routed one by one, by a 128-bit
+hash of their bytes, through the same stream, with the same result.
 
-Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; nulls in
-doc_id count as one id, the least; rows that share an id are versions of one document
-whose removed places are united, so a repeated row isn't a copy of itself; an empty table
-gives no rows.
+Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; rows
+without doc_id stand before all others; rows that share an id, or have none, are documents
+of their own, in the order of their rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,15 +38,15 @@ from ledgerline.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 24
 PIECE_BYTES, MEMBERS = 1 << 20, 20_000
-PLACE = "doc long, start int, n int"
+PLACE = "doc long, row long, start int, n int"
 
 
 def _index(length: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
+            doc, number = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for i, j, raw, offs in pieces(batch.column("text")):
-                yield blocks.block_rows(doc[i:j], blocks.cut_blocks(BYTE_VALUE[raw], offs, length, gram))
+                yield blocks.block_rows(doc[i:j], number[i:j], blocks.cut_blocks(BYTE_VALUE[raw], offs, length, gram))
 
     return lambda batches: blocks.combined(cut(batches))
 
@@ -74,13 +74,13 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
+            doc, number = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for i, j, raw, offs, s, m, key, row in _located(batch, length):
                 size = m + length - 1
                 data = raw[_spread(s + offs[row], size)]
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 body = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i:j][row]), pa.array(s.astype(np.int32)), body], names=["key", "doc", "start", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i:j][row]), pa.array(number[i:j][row]), pa.array(s.astype(np.int32)), body], names=["key", "doc", "row", "start", "body"])
 
     return run
 
@@ -88,19 +88,20 @@ def _strings(length: int):
 def _windows(length: int):
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
+            doc, number = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             for i, j, raw, offs, s, m, _, row in _located(batch, length):
-                one, two = Rolling(BYTE_VALUE[raw]), Rolling(mix64(BYTE_VALUE[raw]))
+                value = BYTE_VALUE[raw]
+                one, two = Rolling(value), Rolling(mix64(value[:-1] + mix64(value[1:])))  # of bytes, and of pairs of bytes
                 where, wrow = _spread(s, m), np.repeat(row, m)
                 begin = where + offs[wrow]
-                key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length) ^ U64(length))
-                yield key, content, doc[i:j][wrow], where, np.ones(len(where), np.int64), np.ones(len(where), np.int64)
+                key, content = mix64(one.ranges(begin, begin + length)), mix64(two.ranges(begin, begin + length - 1) ^ U64(length))
+                yield key, content, doc[i:j][wrow], number[i:j][wrow], where, np.ones(len(where), np.int64), np.ones(len(where), np.int64)
 
     return lambda batches: blocks.combined(cut(batches))
 
 
-def later_copies(doc: np.ndarray, start: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, n): runs of windows of the strings that also stand at an earlier place among them."""
+def later_copies(doc: np.ndarray, row: np.ndarray, start: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(doc, row, start, n): runs of windows of the strings that also stand at an earlier place among them."""
     size = np.array([len(b) for b in bodies])
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     first = np.cumsum(size + 1) - (size + 1)
@@ -111,19 +112,22 @@ def later_copies(doc: np.ndarray, start: np.ndarray, bodies: list[bytes], length
     begin = _spread(first, count)
     of = np.repeat(np.arange(len(size)), count)
     place = start[of] + begin - first[of]
-    group = number[begin]
-    by = np.lexsort((place, doc[of], group))
-    head = np.ones(len(by), bool)
-    head[1:] = group[by][1:] != group[by][:-1]
-    lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    again = np.zeros(len(by), bool)
-    again[by] = (doc[of][by] != doc[of][lead]) | (place[by] != place[lead])
+    # the order of strings by document; places that are one and the same aren't copies
+    by = np.lexsort((row, doc))
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (row[by][1:] != row[by][:-1])
+    turn = np.empty(len(by), np.int64)
+    turn[by] = np.cumsum(new) - 1
+    at = (turn[of] << 32) | place
+    earliest = np.full(len(text), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, number[begin], at)
+    again = at != earliest[number[begin]]
     opens = again.copy()
     opens[1:] &= ~again[:-1] | (of[1:] != of[:-1])
     closes = again.copy()
     closes[:-1] &= ~again[1:] | (of[1:] != of[:-1])
     s, e = np.flatnonzero(opens), np.flatnonzero(closes)
-    return doc[of[s]], place[s], e - s + 1
+    return doc[of[s]], row[of[s]], place[s], e - s + 1
 
 
 def _mark(length: int):
@@ -132,8 +136,8 @@ def _mark(length: int):
         size = 0
 
         def flush(rows: pa.Table):
-            doc, start, n = later_copies(rows["doc"].to_numpy(), rows["start"].to_numpy().astype(np.int64), rows["body"].to_pylist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "start", "n"])
+            doc, row, start, n = later_copies(rows["doc"].to_numpy(), rows["row"].to_numpy(), rows["start"].to_numpy().astype(np.int64), rows["body"].to_pylist(), length)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "row", "start", "n"])
 
         for batch in batches:
             at = 0
@@ -181,32 +185,31 @@ def _remove(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(doc, start, n): runs of n windows from byte ``start`` on that also start earlier."""
-    text = blocks.of_documents(docs)
-    width = shuffle_width(docs)
+def repeated_spans(text: DataFrame, width: int, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
+    """(doc, row, start, n): runs of n windows from byte ``start`` on that also start earlier."""
     shared = materialise(blocks.classify(text.mapInArrow(_index(length, gram), blocks.BLOCK_SCHEMA), width), "op1-blocks")
-    copies = shared.where("copies > 1 and not first").select("doc", "start", "n")
-    ends = shared.where("mixed and first").select("key", "doc", "start", "n")
+    copies = shared.where("copies > 1 and not first").select("doc", "row", "start", "n")
+    ends = shared.where("mixed and first").select("key", "doc", "row", "start", "n")
     large = materialise(ends.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > members).select("key"), "op1-large")
 
     def listed(rows: DataFrame, tag: str) -> DataFrame:
-        return materialise(rows.groupBy("doc").agg(F.flatten(F.collect_list(F.array(blocks.packed(), "key"))).alias("spans")), tag)
+        return materialise(rows.groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array(blocks.packed(), "key"))).alias("spans")), tag)
 
     few = listed(ends.join(large, "key", "left_anti"), "op1-boundaries")
-    strings = blocks.with_lists(text, few, "inner").mapInArrow(_strings(length), "key long, doc long, start int, body binary")
+    strings = blocks.with_lists(text, few, "inner").mapInArrow(_strings(length), "key long, doc long, row long, start int, body binary")
     marked = strings.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_mark(length), PLACE)
     out = copies.unionByName(marked)
     if not large.isEmpty():
         many = listed(ends.join(large, "key", "left_semi"), "op1-large-boundaries")
         windows = blocks.with_lists(text, many, "inner").mapInArrow(_windows(length), blocks.BLOCK_SCHEMA)
-        out = out.unionByName(blocks.classify(windows, width).where("copies > 1 and not first").select("doc", "start", "n"))
+        out = out.unionByName(blocks.classify(windows, width).where("copies > 1 and not first").select("doc", "row", "start", "n"))
     return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     ship(docs.sparkSession)
-    lists = materialise(blocks.merged_lists(repeated_spans(docs, length, gram, members)), "op1-spans")
-    out = blocks.with_lists(blocks.of_documents(docs), lists, "left").mapInArrow(_remove(length), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    text = blocks.of_documents(docs)
+    lists = materialise(blocks.merged_lists(repeated_spans(text, shuffle_width(docs), length, gram, members)), "op1-spans")
+    out = blocks.with_lists(text, lists, "left").mapInArrow(_remove(length), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("doc") != blocks.NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -13,7 +13,7 @@ URL's path decides.
 Scale: URLs are dealt to sweeps by a hash of the whole URL, so a hot host is spread
 over all of them; boundary rows are few (two per rule) and go to every sweep. Stacks
 are built by equi-joins on host suffixes, not by comparing rules pairwise. One
-shuffle of URLs, no broadcast hints.
+shuffle of URLs, whose number of sweeps follows the input's size, no broadcast hints.
 
 Defined cases: a null URL or one without ``://`` has empty host and path; without a
 fitting rule the verdict is the default and the rule is null; repeated rows give
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.session import shuffle_width
+
 #: The rules of the registered query, as (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -80,7 +82,7 @@ def boundaries(rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", sweeps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url)."""
-    n = sweeps or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = sweeps or shuffle_width(pages.select("page_id", "url"))
     point = pages.select("page_id", F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     point = point.select(
         F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("sweep"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path"

@@ -7,10 +7,14 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, suffix_dedup, url_filters
+from ledgerline.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup, suffix_dedup, url_filters
+from ledgerline.llm.kernels import string_parts, word_hashes
+from ledgerline.llm.run_index import RunIndex
 from tests.llm import brute, fixtures
 
 SCHEMA = "doc_id long, text string"
@@ -34,6 +38,46 @@ def test_suffix_dedup(spark):
         assert got == brute.substring_bytes(rows)
 
 
+def test_run_index():
+    rng = random.Random(3)
+    for text in ("abracadabra" * 7 + "x", "".join(rng.choice("ab") for _ in range(300)), "a" * 50, "q"):
+        x = np.array([ord(c) for c in text])
+        index = RunIndex(x)
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        assert index.transform().tolist() == [ord(text[i - 1]) if i else -1 for i in order]
+        neighbour, match = index.matching_statistics()
+        for a, b in zip([-1, *order], order):
+            common = next((k for k in range(len(text)) if a < 0 or max(a, b) + k >= len(text) or text[a + k] != text[b + k]), len(text))
+            assert (neighbour[b], match[b]) == (a, common)
+        number = index.classes(5)
+        whole = [i for i in range(len(text) - 4)]
+        assert all((number[i] == number[j]) == (text[i : i + 5] == text[j : j + 5]) for i in whole for j in whole)
+
+
+def test_rows_that_share_an_id(spark):
+    said = [" ".join(f"the{(i * 37 + 11 * j) % 1009} word{(i * 53 + 7 * j) % 997}" for j in range(40)) for i in range(4)]
+    rows = [(None, said[0]), (None, said[1]), (7, said[0]), (7, said[2] + " " + said[1]), (7, said[2]), (8, None), (8, said[3])]
+    docs = docs_of(spark, rows)
+    unique = [(i, t) for i, (_, t) in enumerate(rows)]
+    ids = dict(enumerate(d for d, _ in rows))
+
+    def same(got, want):
+        assert collections.Counter(got) == collections.Counter((ids[i], *x) for i, x in want.items())
+
+    same([tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect()], brute.substring_bytes(unique))
+    same([tuple(r)[:4] for r in substring_dedup.substring_dedup(docs).collect()], brute.substring_words(unique))
+    sizes = {i: (n, ids[c]) for i, (n, c) in brute.shingle_components(unique, 4, 85).items()}
+    same([tuple(r)[:3] for r in ngram_join.ngram_join(docs, 4, 85).collect()], sizes)
+
+
+def test_words_of_two_letters_keep_apart():
+    one, two = ["a"], ["b"]
+    for _ in range(10):
+        one, two = one + two, two + one
+    raw, offs = string_parts(pa.array(["".join(one), "".join(two)]))
+    assert len(set(word_hashes(raw, offs[:-1], offs[1:]).tolist())) == 2
+
+
 def base_spans(text):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
@@ -68,7 +112,7 @@ def test_pii_disclosing_terms(spark):
     rows = [(i, f"filler word{'abcdefgh'[i]} number {'xyzuvwst'[i]}ome then zanzibar reach me at boss@corp.example today") for i in range(8)]
     rows += [(100 + i, f"nothing to see in this plain text {'pqrstuvw'[i % 8]}ery common filler then today reach") for i in range(200)]
     rows.append((999, "the word zanzibar alone"))
-    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, rows), keep_text=True, threshold=0.9).collect()}
+    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, rows), keep_text=True, threshold=0.7).collect()}
     assert "term:" in got[0].spans and "[term]" in got[999].sanitised and "zanzibar" not in got[0].sanitised and "boss@" not in got[0].sanitised
     assert all(got[100 + i].spans == "" for i in range(200))
 
