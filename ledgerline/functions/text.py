@@ -38,9 +38,9 @@ def prose(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Dashes, quotes and no-break spaces folded, white space collapsed, lower case: the form in which excerpts are compared."""
-    plain = F.translate(text, "‐‑‒–—−‘’“” ", "------''\"\" ")
-    return F.lower(prose(plain))
+    """The form in which excerpts are compared: en and em dashes and double hyphens as one hyphen, tildes and no-break spaces as blanks, curly quotes (but the left single one) straight, white space collapsed, lower case."""
+    plain = F.translate(text, "\u2013\u2014\u00a0~\u201c\u201d\u2019", "--  \"\"'")
+    return F.lower(prose(F.replace(plain, F.lit("--"), F.lit("-"))))
 
 
 def without_control(text: Column) -> Column:

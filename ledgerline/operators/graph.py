@@ -20,29 +20,20 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(seed, node, distance) of everything reachable along edges from each seed (column ``node``, optional ``seed``), seeds at 0."""
-    step = edges.select(F.col("src").alias("node"), "dst").distinct()
+    step = materialise(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
     start = seeds if "seed" in seeds.columns else seeds.withColumn("seed", F.col("node"))
     front = materialise(start.select("seed", "node", F.lit(0).alias("distance")).distinct(), "walk")
-    rounds = [front]
-    level = 0
+    known, level = front, 0
     while depth is None or level < depth:
         level += 1
         reached = front.join(step, "node").select("seed", F.col("dst").alias("node")).distinct()
-        for known in rounds:
-            reached = reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
-        front = materialise(reached.withColumn("distance", F.lit(level)), "walk")
+        front = materialise(reached.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(level)), "walk")
         if front.isEmpty():
             break
-        rounds.append(front)
-        if len(rounds) > 8:  # keep the anti-joins few
-            everything = rounds[0]
-            for more in rounds[1:]:
-                everything = everything.unionByName(more)
-            rounds = [materialise(everything, "walk")]
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
+        known = known.unionByName(front)  # a scan of all levels' files
+        if level % 12 == 0:
+            known = materialise(known, "walk")
+    return known
 
 
 def closure(edges: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:
@@ -57,7 +48,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def witness_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, path): the lexicographically least of the shortest paths from any seed; breadth first with sorted neighbours finds the same."""
-    step = edges.select(F.col("src").alias("node"), "dst").distinct()
+    step = materialise(edges.select(F.col("src").alias("node"), "dst").distinct(), "steps")
     front = materialise(seeds.select("node", F.array("node").alias("path")), "paths")
     known, level = front, 0
     while depth is None or level < depth:
@@ -66,7 +57,7 @@ def witness_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None)
         front = materialise(found.join(known.select("node"), "node", "left_anti"), "paths")
         if front.isEmpty():
             break
-        known = materialise(known.unionByName(front), "paths")
+        known = known.unionByName(front)
     return known
 
 
@@ -135,17 +126,23 @@ def condense(edges: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest path to each node of an acyclic graph, sources at 0."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    """(node, depth): the longest path to each node of an acyclic graph, sources at 0.
+
+    Each round gives a depth to the nodes whose dependencies all have one, so that every edge
+    is read once as long as its source is on the frontier.
+    """
     edges = materialise(edges.select("src", "dst").distinct(), "layers")
-    now = materialise(nodes.withColumn("depth", F.lit(0)), "layers")
-    while True:
-        offered = now.join(edges, now.node == edges.src).groupBy("dst").agg((F.max("depth") + 1).alias("offer"))
-        new = materialise(now.join(offered, now.node == offered.dst, "left").select("node", F.greatest("depth", F.coalesce("offer", F.lit(0))).alias("depth"), (F.coalesce("offer", F.lit(0)) > F.col("depth")).alias("moved")), "layers")
-        moved = not new.where("moved").isEmpty()
-        now = new.select("node", "depth")
-        if not moved:
-            return now
+    front = materialise(edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "layers")
+    open_ = materialise(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("left")), "layers")
+    known, level = front, 0
+    while not front.isEmpty():
+        level += 1
+        met = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        rest = materialise(open_.join(met, "node", "left").select("node", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), "layers")
+        front = rest.where("left = 0").select("node", F.lit(level).alias("depth"))
+        open_ = rest.where("left > 0")
+        known = known.unionByName(front)
+    return known
 
 
 def dag_reduction(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,17 @@ def headline_stats(walked: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def headline_pairs(walked: DataFrame) -> DataFrame:
-    """(a, b, node, total): for two claims, the common dependency of least summed distance, least name on ties, with how many they have."""
-    l, r = walked.alias("l"), walked.alias("r")
-    met = l.join(r, (F.col("l.node") == F.col("r.node")) & (F.col("l.claim") < F.col("r.claim")))
-    best = met.groupBy(F.col("l.claim").alias("a"), F.col("r.claim").alias("b")).agg(F.min(F.struct((F.col("l.distance") + F.col("r.distance")).alias("total"), F.col("l.node").alias("node"))).alias("m"), F.count(F.lit(1)).alias("common"))
-    return best.select("a", "b", "m.node", "m.total", "common")
+    """(a, b, node, da, db, common): for two claims, the common dependency of least greater distance, then least sum, then least name, and how many they have.
+
+    The claims' own declarations are no common dependencies of theirs.
+    """
+    own = walked.where("distance = 0").select("claim", F.col("node").alias("self"))
+    named = walked.join(own, "claim")
+    l, r = named.alias("l"), named.alias("r")
+    met = l.join(r, (F.col("l.node") == F.col("r.node")) & (F.col("l.claim") < F.col("r.claim")) & (F.col("l.node") != F.col("l.self")) & (F.col("l.node") != F.col("r.self")))
+    order = F.struct(F.greatest("l.distance", "r.distance").alias("far"), (F.col("l.distance") + F.col("r.distance")).alias("total"), F.col("l.node").alias("node"), F.col("l.distance").alias("da"), F.col("r.distance").alias("db"))
+    best = met.groupBy(F.col("l.claim").alias("a"), F.col("r.claim").alias("b")).agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("common"))
+    return best.select("a", "b", "m.node", "m.da", "m.db", "common")
 
 
 def library_counts(walked: DataFrame, decls: DataFrame) -> DataFrame:
@@ -73,10 +81,16 @@ def cluster_stats(edges: DataFrame, decls: DataFrame, by: str) -> DataFrame:
     return nodes.join(inner, "cluster", "left").join(into, "cluster", "left").join(out, "cluster", "left").na.fill(0)
 
 
-def promotion(edges: DataFrame, tagged: DataFrame) -> DataFrame:
-    """(node, role, consumers): tagged nodes that untagged ones use (boundary), and the tagged nodes below those (support)."""
+def promotion(edges: DataFrame, tagged: DataFrame, consumer_prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """(node, role, consumers): tagged nodes that untagged ones use (boundary), and the tagged nodes below those (support).
+
+    With ``consumer_prefixes`` only consumers whose names begin with one of them count; the
+    prefixes are raw, not dotted.
+    """
     inside = edges.join(tagged.select(F.col("node").alias("src")), "src", "left_semi")
     used = inside.join(tagged.select(F.col("node").alias("dst")), "dst", "left_anti")
+    if consumer_prefixes:
+        used = used.where(reduce(lambda a, b: a | b, [F.col("dst").startswith(p) for p in consumer_prefixes]))
     boundary = materialise(used.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("consumers")), "boundary")
     both = inside.join(tagged.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     below = graph.closure(both, boundary.select("node")).select("node").join(boundary, "node", "left_anti")

@@ -33,10 +33,16 @@ def reuse(citations: DataFrame, minimum: int = 2) -> DataFrame:
     return citations.groupBy("declaration").agg(F.count_distinct("document").alias("documents"), F.count(F.lit(1)).alias("occurrences")).where(F.col("documents") >= minimum)
 
 
-def apply_probe(refs: DataFrame, probe: DataFrame) -> DataFrame:
-    """(row, verification): in_build, partially_in_build or missing, from whether the row's references resolve; rows without a probed one stay out."""
+def apply_probe(rows: DataFrame, refs: DataFrame, probe: DataFrame, defined: tuple[str, ...] = ("proved_in_build", "partially_in_build", "absent")) -> DataFrame:
+    """(row, verification): rows (row, verification) with the state that their probed references (row, declaration) ask for.
+
+    All resolved, some, none: the first of these states that fits and that the document
+    defines. Rows without a probed reference, and rows that are ``not_applicable``, stay as they are.
+    """
     seen = refs.join(probe, "declaration").groupBy("row").agg(F.count_if("resolved").alias("ok"), F.count(F.lit(1)).alias("n"))
-    return seen.select("row", F.when(F.col("ok") == F.col("n"), "in_build").when(F.col("ok") > 0, "partially_in_build").otherwise("missing").alias("verification"))
+    fits = {"proved_in_build": F.col("ok") == F.col("n"), "partially_in_build": F.col("ok") > 0, "absent": F.col("ok") == 0}
+    state = F.coalesce(*[F.when(fits[s] & (F.col("verification").isNull() | (F.col("verification") != "not_applicable")), s) for s in fits if s in defined], F.col("verification"))
+    return rows.join(seen, "row", "left").select("row", state.alias("verification"))
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:

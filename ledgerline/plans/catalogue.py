@@ -55,8 +55,8 @@ def targets(s, d):
     return claims(s, d).select(F.col("declaration").alias("node"))
 
 
-def parts(s, d, step=50):
-    return table(s, d, "part").where(F.col("p_partkey") % step == 7).select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+def parts(s, d):
+    return table(s, d, "part").where("p_size = 7").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
 
 
 def files(s, d):
@@ -70,7 +70,7 @@ UP = f"""WITH RECURSIVE edges AS ({EDGES}), claims AS ({CLAIMS}), walked(claim,
 covered AS (SELECT node, count(*) AS coverage FROM cover GROUP BY node)"""
 #: The orders' ancestors reach the whole part tree, deeper than the cap above; parts are followed by halves, so distances come from BFS levels.
 PART_UP = f"""WITH RECURSIVE edges AS ({PART_EDGES}), walked(node, distance) AS (
-  SELECT 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_partkey % 50 = 7
+  SELECT 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7
   UNION SELECT e.src, w.distance + 1 FROM walked w JOIN edges e ON e.dst = w.node
 )"""
 UP = UP.replace("WHERE w.distance < 8", "WHERE w.distance < 40")
@@ -173,7 +173,7 @@ def shortest_witness(s, d):
 
 @query(
     f"""WITH RECURSIVE edges AS ({PART_EDGES}), walked(seed, node, n) AS (
-  SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_partkey % 50 = 7
+  SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7
   UNION SELECT w.seed, e.dst, w.n + 1 FROM walked w JOIN edges e ON e.src = w.node
 ), hit AS (SELECT seed, n, node FROM walked WHERE n > 0 AND (CAST(split_part(node, '.', 2) AS BIGINT) % 13) = 0)
 SELECT seed, arg_min(node, lpad(CAST(n AS STRING), 4, '0') || node) AS node, CAST(min(n) AS BIGINT) AS distance FROM hit GROUP BY seed"""
@@ -252,11 +252,13 @@ def headline_stats(s, d):
 
 
 @query(
-    f"""{UP}, met AS (SELECT l.claim AS a, r.claim AS b, l.node, l.distance + r.distance AS total FROM cover l JOIN cover r ON l.node = r.node AND l.claim < r.claim)
-SELECT a, b, arg_min(node, lpad(CAST(total AS STRING), 4, '0') || node) AS node, CAST(min(total) AS BIGINT) AS total, count(*) AS common FROM met GROUP BY a, b"""
+    f"""{UP}, met AS (SELECT l.claim AS a, r.claim AS b, l.node, l.distance AS da, r.distance AS db FROM cover l JOIN cover r ON l.node = r.node AND l.claim < r.claim
+  JOIN claims x ON x.id = l.claim JOIN claims y ON y.id = r.claim WHERE l.node <> x.declaration AND l.node <> y.declaration),
+best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY greatest(da, db), da + db, node) AS nth, count(*) OVER (PARTITION BY a, b) AS common FROM met)
+SELECT a, b, node, CAST(da AS BIGINT) AS da, CAST(db AS BIGINT) AS db, common FROM best WHERE nth = 1"""
 )
 def headline_pairs(s, d):
-    return long(headlines.headline_pairs(headlines.dependency_walk(edges(s, d), claims(s, d))), "total")
+    return long(headlines.headline_pairs(headlines.dependency_walk(edges(s, d), claims(s, d))), "da", "db")
 
 
 @query(f"{UP} SELECT node FROM cover GROUP BY node HAVING node NOT IN (SELECT dst FROM edges)")
@@ -392,12 +394,14 @@ def xref_search(s, d):
 
 
 @query(
-    """SELECT l_orderkey AS "row", CASE WHEN count(*) FILTER (p_size > 25) = count(*) THEN 'in_build' WHEN count(*) FILTER (p_size > 25) > 0 THEN 'partially_in_build' ELSE 'missing' END AS verification
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""
+    """SELECT o.o_orderkey AS "row", CASE WHEN o.o_orderstatus = 'P' THEN 'not_applicable' WHEN count(p_size) = 0 THEN 'planned' WHEN count(*) FILTER (p_size > 25) = count(p_size) THEN 'proved_in_build'
+  WHEN count(*) FILTER (p_size > 25) > 0 THEN 'partially_in_build' ELSE 'absent' END AS verification
+FROM orders o LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey AND p_size < 45 GROUP BY o.o_orderkey, o.o_orderstatus"""
 )
 def apply_probe(s, d):
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("row"), F.when(F.col("o_orderstatus") == "P", "not_applicable").otherwise("planned").alias("verification"))
     refs = table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("declaration"))
-    return ledgers.apply_probe(refs, table(s, d, "part").select(F.col("p_partkey").alias("declaration"), (F.col("p_size") > 25).alias("resolved")))
+    return ledgers.apply_probe(rows, refs, table(s, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("declaration"), (F.col("p_size") > 25).alias("resolved")))
 
 
 @query(
@@ -541,7 +545,7 @@ IMPORTS = "SELECT dst AS module, src AS dep FROM (" + PART_EDGES + ")"
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 50 = 7 UNION SELECT w.seed, i.dep FROM walked w JOIN imports i ON i.module = w.node)
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 7 UNION SELECT w.seed, i.dep FROM walked w JOIN imports i ON i.module = w.node)
 SELECT l.seed AS a, r.seed AS b, count(*) AS common FROM walked l JOIN walked r ON l.node = r.node AND l.seed < r.seed GROUP BY 1, 2"""
 )
 def import_closure_overlap(s, d):
@@ -555,7 +559,7 @@ def policy_violations_direct(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_partkey % 50 = 7 UNION SELECT w.seed, i.dep, w.n + 1 FROM walked w JOIN imports i ON i.module = w.node)
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7 UNION SELECT w.seed, i.dep, w.n + 1 FROM walked w JOIN imports i ON i.module = w.node)
 SELECT seed AS module, arg_min(node, lpad(CAST(n AS STRING), 4, '0') || node) AS forbidden, CAST(min(n) AS BIGINT) AS distance FROM walked WHERE n > 0 AND (CAST(split_part(node, '.', 2) AS BIGINT) % 13) = 0 GROUP BY seed"""
 )
 def policy_violations_transitive(s, d):
@@ -565,7 +569,7 @@ def policy_violations_transitive(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), covered(node) AS (SELECT 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 50 = 7 UNION SELECT i.dep FROM covered w JOIN imports i ON i.module = w.node),
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), covered(node) AS (SELECT 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 7 UNION SELECT i.dep FROM covered w JOIN imports i ON i.module = w.node),
 excluded AS (SELECT 'part.' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 97 = 5), inherited(node) AS (SELECT node FROM excluded UNION SELECT i.module FROM inherited w JOIN imports i ON i.dep = w.node)
 SELECT 'part.' || CAST(p_partkey AS STRING) AS module, CASE WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM covered) THEN 'covered' WHEN p_partkey % 97 = 5 THEN 'excluded' WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM inherited) THEN 'inherited' ELSE 'uncovered' END AS status FROM part"""
 )
@@ -578,11 +582,11 @@ def module_coverage_partition(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(rung, node) AS (SELECT p_partkey % 4, 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 50 = 7 UNION SELECT w.rung, i.dep FROM walked w JOIN imports i ON i.module = w.node)
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(rung, node) AS (SELECT p_partkey % 4, 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 7 UNION SELECT w.rung, i.dep FROM walked w JOIN imports i ON i.module = w.node)
 SELECT node, min(rung) AS rung FROM walked GROUP BY node"""
 )
 def rung_closure(s, d):
-    seeds = table(s, d, "part").where("p_partkey % 50 = 7").select((F.col("p_partkey") % 4).alias("rung"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    seeds = table(s, d, "part").where("p_size = 7").select((F.col("p_partkey") % 4).alias("rung"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
     return modules.rungs(frame(s, d, IMPORTS), seeds)
 
 
@@ -596,7 +600,7 @@ def stream_journal_counts(s, d):
 
 def load() -> None:
     """Adds the queries of the other modules of this package."""
-    from ledgerline.plans import more  # noqa: F401
+    from ledgerline.plans import declared, more  # noqa: F401
 
 
 load()

@@ -14,7 +14,7 @@ from ledgerline.streaming import extensions
 
 
 @query(
-    r"""SELECT doc_id, sha256(lower(trim(regexp_replace(translate(text, '‐‑‒–—−‘’“”' || chr(160), '------''''"" '), '\s+', ' ', 'g')))) AS folded_sha256 FROM documents"""
+    r"""SELECT doc_id, sha256(lower(trim(regexp_replace(replace(translate(text, '–—' || chr(160) || '~“”’', '--  ""'''), '--', '-'), '\s+', ' ', 'g')))) AS folded_sha256 FROM documents"""
 )
 def prose_folded(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(tx.folded(F.col("text")), 256).alias("folded_sha256"))
@@ -60,7 +60,7 @@ def admission_closure(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), w(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_partkey % 50 = 7 UNION SELECT w.seed, i.dep, w.n + 1 FROM w JOIN imports i ON i.module = w.node WHERE w.n < 4),
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), w(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7 UNION SELECT w.seed, i.dep, w.n + 1 FROM w JOIN imports i ON i.module = w.node WHERE w.n < 4),
 c AS (SELECT seed, node, min(n) AS n FROM w GROUP BY seed, node), m AS (SELECT l.seed AS a, r.seed AS b, l.node, l.n + r.n AS total, l.n AS n FROM c l JOIN c r ON l.node = r.node AND l.seed < r.seed)
 SELECT a, b, arg_min(node, lpad(CAST(total AS STRING), 3, '0') || lpad(CAST(n AS STRING), 3, '0') || node) AS core FROM m GROUP BY a, b"""
 )

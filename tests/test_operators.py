@@ -36,12 +36,12 @@ def test_cycle_reduction(spark):
 
 
 def test_closure_and_witness(spark):
-    e = edges(spark, ("base", "align"), ("align", "one"), ("one", "two"), ("two", "config"), ("config", "end"), ("align", "zed"), ("zed", "two"))
-    assert rows(graph.closure(e, nodes(spark, "two")), "node", "distance") == [("align", 2), ("base", 3), ("one", 1), ("two", 0), ("zed", 1)]
-    path = {r.node: r.path for r in graph.witness_paths(e, nodes(spark, "align")).collect()}
-    assert path["config"] == ["align", "one", "two", "config"]
-    got = rows(graph.projected_reduction(e, nodes(spark, "align", "config", "end")), "src", "dst", "distance")
-    assert got == [("align", "config", 3), ("config", "end", 1)]
+    e = edges(spark, ("soil", "root"), ("root", "stem"), ("stem", "leaf"), ("leaf", "bud"), ("bud", "fruit"), ("root", "vine"), ("vine", "leaf"))
+    assert rows(graph.closure(e, nodes(spark, "leaf")), "node", "distance") == [("leaf", 0), ("root", 2), ("soil", 3), ("stem", 1), ("vine", 1)]
+    path = {r.node: r.path for r in graph.witness_paths(e, nodes(spark, "root")).collect()}
+    assert path["bud"] == ["root", "stem", "leaf", "bud"]
+    got = rows(graph.projected_reduction(e, nodes(spark, "root", "bud", "fruit")), "src", "dst", "distance")
+    assert got == [("bud", "fruit", 1), ("root", "bud", 3)]
 
 
 def test_headlines(spark):
@@ -51,21 +51,32 @@ def test_headlines(spark):
     covered = headlines.coverage(walked)
     assert {r.node for r in covered.where("shared").collect()} == {"shared"} and "x" not in {r.node for r in covered.collect()}
     assert rows(headlines.headline_stats(walked, covered), "claim", "nearest_shared") == [("a", 3), ("b", 3), ("c", None)]
-    assert rows(headlines.headline_pairs(walked), "a", "b", "node", "total") == [("a", "b", "shared", 6)]
+    assert rows(headlines.headline_pairs(walked), "a", "b", "node", "da", "db") == [("a", "b", "shared", 3, 3)]
     assert rows(headlines.shared_frontier(e, covered), "node") == [("shared",)]
 
 
+def test_pairs_take_the_least_greater_distance(spark):
+    # one: distances 1 and 4 (sum 5); two: 3 and 3 (sum 6). The lesser maximum wins; a claim's own node is no common one.
+    e = edges(spark, ("one", "X"), ("one", "y1"), ("y1", "y2"), ("y2", "y3"), ("y3", "Y"), ("two", "p1"), ("p1", "p2"), ("p2", "X"), ("two", "q1"), ("q1", "q2"), ("q2", "Y"), ("X", "Z"))
+    walked = headlines.dependency_walk(e, spark.createDataFrame([("x", "X"), ("y", "Y"), ("z", "Z")], "id string, declaration string"))
+    got = {(r.a, r.b): (r.node, r.da, r.db) for r in headlines.headline_pairs(walked).collect()}
+    assert got[("x", "y")] == ("two", 3, 3) and got[("x", "z")] == ("one", 1, 2)
+
+
 def test_promotion(spark):
-    e = edges(spark, ("endpoint", "public"), ("helper", "endpoint"), ("stable", "endpoint"))
-    got = headlines.promotion(e, nodes(spark, "endpoint", "helper", "unused"))
-    assert rows(got, "node", "role", "consumers") == [("endpoint", "boundary", 1), ("helper", "support", 0)]
+    e = edges(spark, ("gate", "Out.a"), ("gate", "In.b"), ("beam", "gate"), ("sand", "gate"))
+    got = headlines.promotion(e, nodes(spark, "gate", "beam", "idle"))
+    assert rows(got, "node", "role", "consumers") == [("beam", "support", 0), ("gate", "boundary", 2)]
+    assert rows(headlines.promotion(e, nodes(spark, "gate", "beam"), ("Ou",)), "node", "consumers") == [("beam", 0), ("gate", 1)]
+    assert rows(headlines.promotion(e, nodes(spark, "gate", "beam"), ("Else",)), "node") == []
 
 
 def test_resolution(spark):
-    decls = spark.createDataFrame([("Pkg.Feature.support",), ("Pkg.Feature.capstone",), ("Pkg.id",)], "name string")
-    refs = spark.createDataFrame([("Pkg.Feature.capstone", "support"), ("Pkg.Feature.capstone", "OfNat.id"), ("Pkg.Feature.capstone", "id"), ("Other.x", "id")], "consumer string, reference string")
+    decls = spark.createDataFrame([("Top.Mid.low",), ("Top.Mid.use.low",), ("Top.here",), ("Top.Mid.use",)], "name string")
+    refs = spark.createDataFrame([("Top.Mid.use", "low"), ("Top.Mid.use", "Far.here"), ("Top.Mid.use", "here"), ("Else.x", "here"), ("here", "low")], "consumer string, reference string")
     got = {(r.consumer, r.reference): r.resolved for r in names.resolve(refs, decls).collect()}
-    assert got == {("Pkg.Feature.capstone", "support"): "Pkg.Feature.support", ("Pkg.Feature.capstone", "OfNat.id"): None, ("Pkg.Feature.capstone", "id"): "Pkg.id", ("Other.x", "id"): None}
+    # the consumer's own name is no namespace of its
+    assert got == {("Top.Mid.use", "low"): "Top.Mid.low", ("Top.Mid.use", "Far.here"): None, ("Top.Mid.use", "here"): "Top.here", ("Else.x", "here"): None, ("here", "low"): None}
 
 
 def test_statement_closure(spark):
@@ -87,30 +98,44 @@ def test_comments(spark):
 
 
 def test_text_functions(spark):
-    one = spark.createDataFrame([("Dk — “x” y", "import A B\npublic import C.D\n  import all E\nimportant", "dir/sub/f.lean")], "a string, b string, c string")
+    one = spark.createDataFrame([("Dk — “x”~y--z ‘q’", "import A B\npublic import C.D\n  import all E\nimportant", "dir/sub/f.lean")], "a string, b string, c string")
     r = one.select(tx.folded(F.col("a")).alias("a"), tx.imports(F.col("b")).alias("b"), F.transform(tx.suffixes(F.col("c")), lambda x: x["suffix"]).alias("c"), tx.excerpt(F.col("b"), F.lit("C.D"), 3).alias("e")).first()
-    assert r.a == 'dk - "x" y' and r.b == ["A", "B", "C.D", "E"] and r.c == ["f.lean", "sub/f.lean", "dir/sub/f.lean"] and r.e == "…rt C.D\n  …"
+    assert r.a == "dk - \"x\" y-z ‘q'" and r.b == ["A", "B", "C.D", "E"] and r.c == ["f.lean", "sub/f.lean", "dir/sub/f.lean"] and r.e == "…rt C.D\n  …"
     import re
 
     assert re.match(tx.glob_pattern("a.*[0-9]?"), "a.b.c1x") and not re.match(tx.glob_pattern("a.b"), "axb")
 
 
 def test_logs(spark):
-    lines = ["error: A/Test.lean:3:2: bad term", "context line", "B.lean:7:1: warning: unused", "[9117/9173] x", "[31/30]"]
+    lines = ["error: Lib/Oak.lean:12:4: no such leaf", "said more", "Elm.lean:5:6: warning: dry", "[40/41] x", "[9/8]"]
     df = spark.createDataFrame(list(enumerate(lines)), "n long, line string")
-    assert rows(logs.parse_headers(df), "severity", "file", "line_no") == [("error", "A/Test.lean", 3), ("warning", "B.lean", 7)]
-    assert [(r.done, r.total) for r in logs.progress(df).orderBy("n").collect()] == [(9117, 9173), (None, None)]
+    assert rows(logs.parse_headers(df), "severity", "file", "line_no") == [("error", "Lib/Oak.lean", 12), ("warning", "Elm.lean", 5)]
+    assert [(r.done, r.total) for r in logs.progress(df).orderBy("n").collect()] == [(40, 41), (None, None)]
     pos = spark.createDataFrame([("f", 1), ("f", 3), ("f", 20), ("g", 5)], "file string, at long")
     assert rows(logs.gap_clusters(pos, "file", "at", 5), "file", "n", "first", "last") == [("f", 1, 20, 20), ("f", 2, 1, 3), ("g", 1, 5, 5)]
 
 
+def test_whole_logs(spark):
+    said = ["hello", "\x1b[31merror: Oak.lean:1:2: first\r", "", "  detail", "", "info: plain news", "more", "✔ [3/9] Built Oak", "after", "error: build failed", "Some required targets logged failures:", "- Oak", " - Elm", "- x"]
+    said += ["tail", "- not listed", "Elm.lean:7:8: warning: second", "body"]
+    found, role = logs.parse_output(spark.createDataFrame([("r", i, x) for i, x in enumerate(said)], "run string, n long, line string"))
+    assert rows(found, "ordinal", "n", "severity", "file", "line_no", "col", "message", "body") == [
+        (1, 1, "error", "Oak.lean", 1, 2, "first", ["  detail"]), (2, 5, "info", None, None, None, "plain news", ["more"]), (3, 16, "warning", "Elm.lean", 7, 8, "second", ["body"])]
+    got = [r.role for r in role.orderBy("n").collect()]
+    assert got == ["other", "header", "body", "body", "body", "header", "body", "synthetic", "other"] + ["synthetic"] * 5 + ["other", "other", "header", "body"]
+    twice = found.unionByName(found.withColumn("run", F.lit("s")))
+    assert rows(logs.deduplicate_diagnostics(twice), "message", "repeats", "runs")[0] == ("first", 2, ["r", "s"])
+
+
 def test_ledgers(spark):
-    refs = spark.createDataFrame([("r1", "one"), ("r1", "helper"), ("r2", "one")], "row string, declaration string")
-    probe = spark.createDataFrame([("one", True), ("helper", False)], "declaration string, resolved boolean")
-    assert dict(rows(ledgers.apply_probe(refs, probe), "row", "verification")) == {"r1": "partially_in_build", "r2": "in_build"}
-    imports = spark.createDataFrame([("B", "Proj.A"), ("C", "B")], "module string, dep string")
-    seeds = spark.createDataFrame([(1, "B"), (2, "C")], "rung int, node string")
-    assert dict(rows(modules.rungs(imports, seeds), "node", "rung")) == {"B": 1, "Proj.A": 1, "C": 2}
+    state = spark.createDataFrame([("all", "x"), ("some", None), ("none", "x"), ("off", "not_applicable"), ("bare", "x")], "row string, verification string")
+    refs = spark.createDataFrame([("all", "up"), ("some", "up"), ("some", "down"), ("none", "down"), ("off", "up"), ("bare", "unasked")], "row string, declaration string")
+    probe = spark.createDataFrame([("up", True), ("down", False)], "declaration string, resolved boolean")
+    assert dict(rows(ledgers.apply_probe(state, refs, probe), "row", "verification")) == {"all": "proved_in_build", "some": "partially_in_build", "none": "absent", "off": "not_applicable", "bare": "x"}
+    assert dict(rows(ledgers.apply_probe(state, refs, probe, ("partially_in_build",)), "row", "verification")) == {"all": "partially_in_build", "some": "partially_in_build", "none": "x", "off": "not_applicable", "bare": "x"}
+    imports = spark.createDataFrame([("M2", "M1"), ("M3", "M2")], "module string, dep string")
+    seeds = spark.createDataFrame([(1, "M2"), (2, "M3")], "rung int, node string")
+    assert dict(rows(modules.rungs(imports, seeds), "node", "rung")) == {"M1": 1, "M2": 1, "M3": 2}
 
 
 def test_loaders(spark, tmp_path):
