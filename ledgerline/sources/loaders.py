@@ -78,7 +78,7 @@ def journal(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of whole files below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
