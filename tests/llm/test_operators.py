@@ -190,6 +190,23 @@ def test_ngram_join(spark):
         assert got == brute.shingle_components(rows, 4, 85)
 
 
+def test_ngram_join_of_many_near_copies(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(130)]
+    rows = []
+    for i in range(150):
+        words = list(base) if i % 3 else base[20:]
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4))):
+            words[rng.randrange(len(words))] = rng.choice((f"x{i}", "common", "often"))
+        rows.append((i, " ".join(words)))
+    for k, percent in ((4, 85), (5, 80)):
+        want = brute.shingle_components(rows, k, percent)
+        for group in (24, 3):
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs_of(spark, rows), k, percent, group).collect()}
+            assert got == want
+        assert 1 < len({c for _, c in want.values()})
+
+
 def test_lm_scoring(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_001, None), (10_002, "")]
