@@ -52,6 +52,12 @@ def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return floor if size >= UNKNOWN else min(1 << 17, max(floor, -(-size // bytes_each)))
 
 
+def few_files(spark: SparkSession, width: int | None = None) -> int:
+    """Files for a table that is small beside the input: one for every sixteen partitions of the input's width, at least one per core."""
+    width = width or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, width // 16)
+
+
 #: Rows in an Arrow batch: batches of whole texts stay at some megabytes on both sides of the pipe.
 BATCH_ROWS = 2000
 
