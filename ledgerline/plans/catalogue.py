@@ -128,7 +128,7 @@ def name_resolution(s, d):
 
 @query(
     """WITH twice AS (SELECT 'o.' || CAST(o_orderkey % 500 AS STRING) AS name, 'm.' || o_orderpriority AS module FROM orders UNION ALL SELECT 'o.' || CAST(o_orderkey % 500 AS STRING), 'm.x.' || o_orderstatus FROM orders)
-SELECT name, arg_min(module, CAST(len(module) - len(replace(module, '.', '')) AS STRING) || module) AS module, count(*) AS copies FROM twice GROUP BY name"""
+SELECT name, arg_min(module, CAST(len(module) - len(replace(module, '.', '')) AS STRING) || lpad(CAST(len(module) AS STRING), 4, '0') || module) AS module, count(*) AS copies FROM twice GROUP BY name"""
 )
 def merge_declarations(s, d):
     o = table(s, d, "orders").select(F.concat(F.lit("o."), (F.col("o_orderkey") % 500).cast("string")).alias("name"), "o_orderpriority", "o_orderstatus")
