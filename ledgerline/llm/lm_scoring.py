@@ -1,27 +1,32 @@
 """N-gram language-model scoring with an Elias-Fano trie.
 
-Counting. Words (lower case for A-Z) and one end token per document are counted over
-every training document. The words that are frequent enough to be among the ``HEAD``
-most frequent (all words of one count together) are the trie's vocabulary; the counts
-of all other words stay in a table and are joined by word, so the add-one base score and
-the unigram part of the model are exact for every word.
-
-The trie. Level 1 holds the vocabulary's word hashes (Elias-Fano), their counts and
-quantised back-off weights. Each further level holds the n-grams whose count reaches the
-least threshold (at least ``MIN_COUNT``) under which at most ``NGRAMS`` are left: the
-successors of a context, as an Elias-Fano sequence of word numbers made monotone by the
-last value of the context before; monotone pointers from contexts to their successors;
-quantised smoothed log probabilities. A look-up is a successor search relative to the
-context. The arrays lie in one buffer that workers memory-map.
-
-Smoothing is absolute discounting, interpolated downwards: p(w|h) = max(c-D, 0)/c(h) +
-b(h) p(w|h'), where b(h) is the mass that the kept successors leave over, and the add-one
-unigram below. An n-gram that isn't in the trie costs the back-off weights on the way.
-
-Scale: scans of whole texts, vectorised, in pieces of bounded size. Counts combine within
-a task before the shuffle, which grows with the corpus; the driver and the broadcast see
-the trie alone, whose size has a stated bound whatever the corpus (HEAD words, NGRAMS
-n-grams per level).
+Counting. Words (lower case for A-Z), one end token per document, and pairs of a token and
+the one before it (the end token before a document's first) are counted over every training
+document, singletons included. The ``HEAD`` most frequent words (all words of one count
+together) are the trie's vocabulary.
+
+The trie. Level 1 holds the vocabulary's word hashes (Elias-Fano), their counts, their
+numbers of different successors and quantised back-off weights. Each further level holds the
+n-grams within the vocabulary whose count reaches the least threshold under which at most
+``NGRAMS`` are left: the successors of a context, as an Elias-Fano sequence of word numbers
+made monotone by the last value of the context before; monotone pointers from contexts to
+their successors; quantised smoothed log probabilities. A look-up is a successor search
+relative to the context. The arrays lie in one buffer that workers memory-map.
+
+The rest. Words and pairs that aren't in the trie are not dropped: they stay in one table,
+and the tokens that miss the trie are joined to it, so every word and every pair that was
+counted enters the score. HEAD and NGRAMS only divide the work between memory and shuffle;
+they don't change a score (beyond quantisation). Only for orders above 2 are the longer
+n-grams those of the trie.
+
+Smoothing is absolute discounting, interpolated downwards: p(w|h) = max(c(hw)-D, 0)/c(h) +
+b(h) p(w), b(h) = D N(h)/c(h) for N(h) different successors, and the add-one unigram below;
+a context that training never saw costs nothing. As p(w|h) = b(h) p(w) (1 + (c(hw)-D) /
+(D N(h) p(w))), what the rest holds is a term to add to a sum of logarithms.
+
+Scale: scans of whole texts, vectorised, in pieces of bounded size. Counts combine within a
+task before the shuffle, which grows with the corpus, as does the rest; the driver and the
+broadcast see the trie alone, whose size has a stated bound whatever the corpus.
 
 Defined cases: null and empty text is the end token alone; nulls in doc_id count as
 training documents; without any training document N = V = 0 and every token costs
@@ -42,12 +47,16 @@ from ledgerline.llm.elias_fano import EliasFano, memory_map, pack
 from ledgerline.llm.kernels import U64, pieces, signed, word_hashes, words
 
 FOLDS, FOLD = 7, 2
-HEAD, NGRAMS, MIN_COUNT, ORDER, DISCOUNT = 1 << 20, 1 << 21, 2, 2, 0.75
+HEAD, NGRAMS, ORDER, DISCOUNT = 1 << 20, 1 << 21, 2, 0.75
 #: The end token's hash: no word hashes to it, as words are not empty.
 END = U64(0x8000000000000001)
 CHUNK = 2 << 20
 SLICE = 1 << 18
 LEAST = -12.0
+#: What a row of the rest is about, in place of a pair's second word: a pair of vocabulary words, a context, a word; then sums of a document.
+PAIR, CONTEXT, WORD, VALUE, PLUS, KNOWN, TOKENS = range(7)
+#: Keys below are vocabulary numbers; word hashes lie beyond.
+NUMBERS = 1 << 24
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = FOLD) -> Column:
@@ -65,19 +74,31 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _counted(chunks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the values of many arrays, combined over some millions at a time."""
+def _counted(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """(key[, word], n) of the keys of many arrays, combined over some millions at a time. All words are 0 but where given."""
     held, size = [], 0
 
-    def flush():
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        whole = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+    def rows(names, *columns):
+        whole = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
         return [whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)]
 
+    def flush():
+        key, n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+        if len(held[0]) == 1:
+            return rows(["key", "n"], key, n)
+        out = rows(["key", "word", "n"], key, np.full(len(key), PAIR), n)
+        first, second = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        if len(first):
+            by = np.lexsort((second, first))
+            first, second = first[by], second[by]
+            at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+            out += rows(["key", "word", "n"], first[at], second[at], np.diff(np.append(at, len(first))))
+        return out
+
     for x in chunks:
-        if len(x):
+        if any(map(len, x)):
             held.append(x)
-            size += len(x)
+            size += sum(map(len, x))
         if size >= CHUNK:
             yield from flush()
             held, size = [], 0
@@ -86,7 +107,7 @@ def _counted(chunks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(tokens(raw, offs)[0] for batch in batches for _, _, raw, offs in pieces(batch.column("text")))
+    yield from _counted((tokens(raw, offs)[0],) for batch in batches for _, _, raw, offs in pieces(batch.column("text")))
 
 
 class Trie:
@@ -96,7 +117,7 @@ class Trie:
         parts = memory_map(data)
         group = lambda p: {k.removeprefix(p): v for k, v in parts.items() if k.startswith(p)}
         self.vocabulary = EliasFano(group("words."))
-        self.count = parts["count"]
+        self.count, self.successors = parts["count"], parts["successors"]
         self.total, self.types = int(parts["totals"][0]), int(parts["totals"][1])
         self.backoff = [parts["backoff.1"]]
         self.levels = []
@@ -131,12 +152,12 @@ class Trie:
 
 
 def quantise(log: np.ndarray) -> np.ndarray:
-    """log10 values in (LEAST, 0] as one byte."""
-    return np.clip(np.round(log / LEAST * 255), 0, 255).astype(np.uint8)
+    """log10 values in (LEAST, 0] as two bytes."""
+    return np.clip(np.round(log / LEAST * 65535), 0, 65535).astype(np.uint16)
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) * (LEAST / 255)
+    return code.astype(np.float64) * (LEAST / 65535)
 
 
 def contexts(trie: Trie, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -154,6 +175,21 @@ def contexts(trie: Trie, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return trie.successor(n - 3, shifted, before)
 
 
+def before(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For every token, the hash of the token before it, the end token before each row."""
+    out = np.full(len(hashes), END, U64)
+    out[1:] = hashes[:-1]
+    out[at[:-1]] = END
+    return out
+
+
+def outside(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose pair isn't within the vocabulary; the pair's context (its number, else its hash) and word hash."""
+    rare = np.flatnonzero((ids < 0) | (context < 0))
+    c = context[rare]
+    return rare, np.where(c >= 0, c.astype(U64), before(hashes, at)[rare]), hashes[rare]
+
+
 def _ngrams(trie_of, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(trie_of.value)
@@ -165,14 +201,16 @@ def _ngrams(trie_of, n: int):
                     ids = trie.word_ids(hashes)
                     context = contexts(trie, ids, at, n)
                     ok = (context >= 0) & (ids >= 0)
-                    yield (context[ok].astype(U64) << U64(24)) | ids[ok].astype(U64)
+                    none = np.zeros(0, U64)
+                    first, second = outside(hashes, at, ids, context)[1:] if n == 2 else (none, none)
+                    yield (context[ok].astype(U64) << U64(24)) | ids[ok].astype(U64), first, second
 
         yield from _counted(keys())
 
     return run
 
 
-def _level(n: int, key: np.ndarray, count: np.ndarray, contexts_n: int, context_count: np.ndarray, lower: np.ndarray) -> tuple[dict, np.ndarray]:
+def _level(n: int, key: np.ndarray, count: np.ndarray, contexts_n: int, context_count: np.ndarray, lower: np.ndarray, left: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
     """Arrays of level n; the context's back-off codes for the level above; key = context << 24 | word, sorted."""
     context, word = (key >> U64(24)).astype(np.int64), (key & U64((1 << 24) - 1)).astype(np.int64)
     pointers = np.searchsorted(context, np.arange(contexts_n + 1))
@@ -182,8 +220,8 @@ def _level(n: int, key: np.ndarray, count: np.ndarray, contexts_n: int, context_
     top[filled] = word[pointers[1:][filled] - 1]
     last[1:] = np.cumsum(top)
     kept = np.maximum(count - DISCOUNT, 0) / np.maximum(context_count[context], 1)
-    mass = np.bincount(context, kept, contexts_n)
-    left = np.clip(1 - mass, 1e-12, 1)
+    if left is None:  # what the kept successors leave over
+        left = np.clip(1 - np.bincount(context, kept, contexts_n), 1e-12, 1)
     probability = kept + left[context] * 10.0 ** lower[word]
     parts = {f"pointers.{n}.{k}": v for k, v in EliasFano.encode(pointers).items()}
     parts |= {f"successors.{n}.{k}": v for k, v in EliasFano.encode(last[context] + word).items()}
@@ -191,10 +229,10 @@ def _level(n: int, key: np.ndarray, count: np.ndarray, contexts_n: int, context_
     return parts, quantise(np.log10(left))
 
 
-def _threshold(counted: DataFrame, rows: int, least: int) -> int:
-    """The least count, at least ``least``, that at most ``rows`` keys reach. Only the distinct counts above the answer are read."""
+def _threshold(counted: DataFrame, rows: int) -> int:
+    """The least count that at most ``rows`` keys reach. Only the distinct counts above the answer are read."""
     above, answer = 0, None
-    for r in counted.where(F.col("n") >= least).groupBy("n").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).toLocalIterator():
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).toLocalIterator():
         above += r.keys
         if above > rows:
             break
@@ -202,38 +240,76 @@ def _threshold(counted: DataFrame, rows: int, least: int) -> int:
     return answer if answer is not None else (1 << 62)
 
 
+def _rest(counted: DataFrame, pairs: DataFrame, least: int, kept: int, total: float) -> DataFrame:
+    """(key, word, n, factor) of the words and pairs that aren't in the trie, and of the contexts outside its vocabulary.
+
+    A context's n is the logarithm of its back-off weight. A pair's gain is log10(1 + (n - D) f), f being the product of
+    this table's factor and the one that the scoring side knows of vocabulary words.
+    """
+    inner, outer = pairs.where(F.col("word") == PAIR), pairs.where(F.col("word") != PAIR)
+    number = F.col("key").between(0, NUMBERS - 1)
+    columns = ("key", "word", F.col("n").cast("double").alias("n"), F.col("factor").cast("double").alias("factor"))
+    word = counted.select(F.col("key").alias("word"), (F.lit(1.0) / (F.col("n") + 1)).alias("share"))
+    known = outer.where(number).join(word, "word").select("key", "word", "n", F.col("share").alias("factor"))
+    context = outer.where(~number).groupBy("key").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("c"))
+    weight = F.lit(DISCOUNT) * F.col("types")
+    unknown = outer.where(~number).join(word, "word").join(context, "key").select("key", "word", "n", (F.lit(total) / weight * F.col("share")).alias("factor"))
+    tables = [
+        inner.where(F.col("n") < kept).select("key", "word", "n", F.lit(1.0).alias("factor")),
+        known,
+        unknown,
+        context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("n"), F.lit(1.0).alias("factor")),
+        counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), "n", F.lit(1.0).alias("factor")),
+    ]
+    out = tables[0].select(*columns)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*columns))
+    return out
+
+
 def train(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int = ORDER) -> tuple[bytes, DataFrame, dict]:
-    """The packed trie, the table (key, n) of all word counts, and {total, types, least}."""
+    """The packed trie, the table of what isn't in it, and {total, types}."""
     spark = docs.sparkSession
     text = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     counted = materialise(text.mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op8-words")
     total, types = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = _threshold(counted, head, 1)
+    least = _threshold(counted, head)
     top = counted.where(F.col("n") >= least).toArrow()
     key, count = top["key"].to_numpy().view(U64), top["n"].to_numpy()
     by = np.argsort(key)
     key, count = key[by], count[by]
-    lower = np.log10(count + 1) - np.log10(total + types + 1)
+    floor = total + types + 1
+    lower = np.log10(count + 1) - np.log10(floor)
     parts = {f"words.{k}": v for k, v in EliasFano.encode(key).items()}
-    parts |= {"count": count, "totals": np.array([total, types]), "backoff.1": np.zeros(len(key), np.uint8)}
+    parts |= {"count": count, "successors": np.zeros(len(key), np.int64), "totals": np.array([total, types]), "backoff.1": np.zeros(len(key), np.uint16)}
     context_n, context_count = len(key), count
     for n in range(2, order + 1):
         trie_of = spark.sparkContext.broadcast(pack(parts))
-        found = materialise(text.mapInArrow(_ngrams(trie_of, n), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op8-ngrams")
-        kept = found.where(F.col("n") >= _threshold(found, ngrams, MIN_COUNT)).toArrow()
+        found = materialise(text.mapInArrow(_ngrams(trie_of, n), "key long, word long, n long").groupBy("key", "word").agg(F.sum("n").alias("n")), "op8-ngrams")
+        inner = found.where(F.col("word") == PAIR)
+        bound = _threshold(inner, ngrams)
+        kept = inner.where(F.col("n") >= bound).toArrow()
         k, c = kept["key"].to_numpy().view(U64), kept["n"].to_numpy()
         by = np.argsort(k)
-        level, codes = _level(n, k[by], c[by], context_n, context_count, lower)
+        left = None
+        if n == 2:
+            rest = _rest(counted, found, least, bound, float(floor))
+            # A vocabulary word's successors, those outside the vocabulary included: at most one row for each.
+            number = F.when(F.col("word") == PAIR, F.shiftright("key", 24)).otherwise(F.col("key"))
+            after = found.select(number.alias("id")).where(F.col("id").between(0, NUMBERS - 1)).groupBy("id").agg(F.count(F.lit(1)).alias("types")).toArrow()
+            parts["successors"][after["id"].to_numpy()] = after["types"].to_numpy()
+            left = np.clip(DISCOUNT * parts["successors"] / np.maximum(count, 1), 1e-12, 1)
+        level, codes = _level(n, k[by], c[by], context_n, context_count, lower, left)
         parts |= level
         parts[f"backoff.{n - 1}"] = codes
-        parts[f"backoff.{n}"] = np.zeros(len(k), np.uint8)
+        parts[f"backoff.{n}"] = np.zeros(len(k), np.uint16)
         context_n, context_count = len(k), c[by]
         trie_of.unpersist()
-    return pack(parts), counted, {"total": int(total), "types": int(types), "least": least}
+    return pack(parts), rest, {"total": int(total), "types": int(types)}
 
 
-def score_tokens(trie: Trie, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per token: the model's log10 probability less the unigram's for words outside the vocabulary, and log10(c + 1) of vocabulary words."""
+def score_tokens(trie: Trie, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: log10 of its probability as far as the trie knows it, log10(c + 1) of vocabulary words, and whether no n-gram was found."""
     known = ids >= 0
     plus = np.zeros(len(ids))
     plus[known] = np.log10(trie.count[ids[known]] + 1.0)
@@ -250,30 +326,44 @@ def score_tokens(trie: Trie, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
         miss = todo & (context >= 0)
         spent[miss] += restore(trie.backoff[n - 2][context[miss]])
     value[todo] = spent[todo] + unigram[todo]
-    return value, plus
+    return value, plus, todo
 
 
-def _score(trie_of, tail: bool):
-    """Rows per document (word null), or, for ``tail``, a document's words outside the vocabulary with their numbers."""
+def _score(trie_of):
+    """(row, key, word, amount): four sums per document, and a row for whatever a token needs of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(trie_of.value)
+        floor = float(trie.total + trie.types + 1)
         for batch in batches:
             row_id = batch.column("row").to_numpy()
             for i, j, raw, offs in pieces(batch.column("text")):
                 hashes, at = tokens(raw, offs)
                 ids = trie.word_ids(hashes)
-                row = np.repeat(np.arange(j - i), np.diff(at))
-                if tail:
-                    out = np.flatnonzero(ids < 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(row_id[i:j][row[out]]), signed(hashes[out])], names=["row", "key"])
-                    continue
-                value, plus = score_tokens(trie, ids, at)
-                sums = [np.bincount(row, x, j - i) for x in (ids >= 0, plus, value)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_id[i:j]), batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "plus", "value"],
-                )
+                mine = row_id[i:j]
+                row = mine[np.repeat(np.arange(j - i), np.diff(at))]
+                of = np.repeat(np.arange(j - i), np.diff(at))
+                value, plus, miss = score_tokens(trie, ids, at)
+                sums = (np.bincount(of, value, j - i), np.bincount(of, plus, j - i), np.bincount(of, ids >= 0, j - i), np.diff(at).astype(float))
+                parts = [(mine, mine, np.full(j - i, kind), x) for kind, x in zip((VALUE, PLUS, KNOWN, TOKENS), sums, strict=True)]
+
+                def need(which, key, word, amount):
+                    parts.append((row[which], key.astype(U64).view(np.int64), word, amount))  # noqa: B023
+
+                context = contexts(trie, ids, at, 2)
+                share = np.ones(len(ids))
+                share[context >= 0] = floor / (DISCOUNT * np.maximum(trie.successors[context[context >= 0]], 1))
+                inner = np.flatnonzero(miss & (ids >= 0) & (context >= 0))
+                amount = (share[inner] / (trie.count[ids[inner]] + 1)).astype(np.float32).astype(float)
+                need(inner, (context[inner] << 24) | ids[inner], np.full(len(inner), PAIR), amount)
+                rare, first, second = outside(hashes, at, ids, context)
+                need(rare, first, second.view(np.int64), share[rare])
+                strange = np.flatnonzero(context < 0)
+                need(strange, before(hashes, at)[strange], np.full(len(strange), CONTEXT), np.ones(len(strange)))
+                unknown = np.flatnonzero(ids < 0)
+                need(unknown, hashes[unknown], np.full(len(unknown), WORD), np.ones(len(unknown)))
+                whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["row", "key", "word", "amount"])
+                yield from (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE))
 
     return run
 
@@ -282,19 +372,36 @@ def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     ship(spark)
-    trie, counted, facts = train(docs, head, ngrams, order)
+    trie, rest, facts = train(docs, head, ngrams, order)
     trie_of = spark.sparkContext.broadcast(trie)
     # Rows are told apart by id and text, so a row scanned twice is the same row.
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"))
-    base = given.mapInArrow(_score(trie_of, False), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, plus double, value double")
-    if facts["least"] > 1:
-        rare = counted.where(F.col("n") < facts["least"])
-        base = materialise(base, "op8-base")
-        pairs = given.select("row", "text").mapInArrow(_score(trie_of, True), "row long, key long")
-        more = pairs.join(rare, "key").groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("n") + 1.0)).alias("p"))
-        same = base.groupBy("row").agg(F.count(F.lit(1)).alias("rows"))
-        more = more.join(same, "row").select("row", F.expr("k div rows").alias("k"), (F.col("p") / F.col("rows")).alias("p"))
-        base = base.join(materialise(more, "op8-rare"), "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "plus": F.col("plus") + F.coalesce("p", F.lit(0.0)), "value": F.col("value") + F.coalesce("p", F.lit(0.0))})
+    kind, n, amount = F.col("word"), F.col("n"), F.col("amount")
+    word = kind == WORD
+    gain = (
+        F.when(kind == VALUE, amount)
+        .when(word, F.log10(n + 1))
+        .when(kind == CONTEXT, n)
+        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p((n - DISCOUNT) * amount * F.col("factor")) / float(np.log(10)))
+    )
+    needed = given.select("row", "text").mapInArrow(_score(trie_of), "row long, key long, word long, amount double")
+    sums = (
+        needed.join(rest, ["key", "word"], "left")
+        .where(n.isNotNull() | kind.between(VALUE, TOKENS))
+        .groupBy("row")
+        .agg(
+            F.sum(gain).alias("value"),
+            F.sum(F.when(kind == PLUS, amount).when(word, F.log10(n + 1))).alias("plus"),
+            F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
+            F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
+            F.count(F.when(kind == TOKENS, 1)).alias("rows"),  # rows that repeat id and text
+        )
+    )
     floor = F.lit(float(np.log10(facts["total"] + facts["types"] + 1)))
-    return base.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["total"]).cast("long").alias("train_tokens"), (F.col("plus") - F.col("n_tokens") * floor).alias("base_score"), F.col("value").alias("score"))
+    each = [(F.col(x) / F.col("rows")).alias(x) for x in ("value", "plus", "known", "tokens")]
+    return (
+        given.select("row", "doc_id", "held_out")
+        .join(sums.select("row", *each), "row")
+        .select("doc_id", "held_out", F.round("tokens").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(facts["total"]).cast("long").alias("train_tokens"), (F.col("plus") - F.col("tokens") * floor).alias("base_score"), F.col("value").alias("score"))
+    )

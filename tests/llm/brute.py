@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -71,3 +72,25 @@ def shingle_components(rows, k=4, percent=85):
                 a, b = root(d), root(e)
                 up[max(a, b)] = min(a, b)
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def bigram_model(texts, discount=0.75):
+    """A function that scores a list of tokens (log10), from lists of training tokens that each end in the end token."""
+    word, pair, after = Counter(), Counter(), Counter()
+    for tokens in texts:
+        word.update(tokens)
+        pair.update(zip(["", *tokens], tokens, strict=False))
+    for h, _ in pair:
+        after[h] += 1
+    floor = sum(word.values()) + len(word) + 1
+
+    def score(tokens):
+        out = 0.0
+        for h, w in zip(["", *tokens], tokens, strict=False):
+            p = (word[w] + 1) / floor
+            if word[h]:
+                p = (max(pair[h, w] - discount, 0) + discount * after[h] * p) / word[h]
+            out += math.log10(p)
+        return out
+
+    return score
