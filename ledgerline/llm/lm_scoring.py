@@ -13,11 +13,13 @@ made monotone by the last value of the context before; monotone pointers from co
 their successors; quantised smoothed log probabilities. A look-up is a successor search
 relative to the context. The arrays lie in one buffer that workers memory-map.
 
-The rest. Words and pairs that aren't in the trie are not dropped: they stay in one table,
-and the tokens that miss the trie are joined to it, so every word and every pair that was
-counted enters the score. HEAD and NGRAMS only divide the work between memory and shuffle;
-they don't change a score (beyond quantisation). Only for orders above 2 are the longer
-n-grams those of the trie.
+The rest. Words and pairs that aren't in the trie are not dropped: the tokens that miss it
+are sent by what they miss. A pair of vocabulary words is counted again where its tokens
+meet, so its count moves once; pairs with a word outside the vocabulary, and such words and
+contexts, meet their row of a table. So every word and every pair that was counted enters
+the score: HEAD and NGRAMS only divide the work between memory and shuffle; they don't
+change a score (beyond quantisation). Only for orders above 2 are the longer n-grams those
+of the trie.
 
 Smoothing is absolute discounting, interpolated downwards: p(w|h) = max(c(hw)-D, 0)/c(h) +
 b(h) p(w), b(h) = D N(h)/c(h) for N(h) different successors, and the add-one unigram below;
@@ -39,10 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise, ship
+from ledgerline.llm.blocks import NO_ID, numbered
 from ledgerline.llm.elias_fano import EliasFano, memory_map, pack
 from ledgerline.llm.kernels import U64, pieces, signed, word_hashes, words
 
@@ -240,35 +243,36 @@ def _threshold(counted: DataFrame, rows: int) -> int:
     return answer if answer is not None else (1 << 62)
 
 
-def _rest(counted: DataFrame, pairs: DataFrame, least: int, kept: int, total: float) -> DataFrame:
-    """(key, word, n, factor) of the words and pairs that aren't in the trie, and of the contexts outside its vocabulary.
+def _rest(counted: DataFrame, pairs: DataFrame, least: int, total: float) -> DataFrame:
+    """(key, word, n, factor) of words and contexts outside the trie's vocabulary, and of pairs with such a word.
 
     A context's n is the logarithm of its back-off weight. A pair's gain is log10(1 + (n - D) f), f being the product of
     this table's factor and the one that the scoring side knows of vocabulary words.
     """
-    inner, outer = pairs.where(F.col("word") == PAIR), pairs.where(F.col("word") != PAIR)
+    outer = pairs.where(F.col("word") != PAIR)
     number = F.col("key").between(0, NUMBERS - 1)
-    columns = ("key", "word", F.col("n").cast("double").alias("n"), F.col("factor").cast("double").alias("factor"))
     word = counted.select(F.col("key").alias("word"), (F.lit(1.0) / (F.col("n") + 1)).alias("share"))
-    known = outer.where(number).join(word, "word").select("key", "word", "n", F.col("share").alias("factor"))
     context = outer.where(~number).groupBy("key").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("c"))
     weight = F.lit(DISCOUNT) * F.col("types")
+    known = outer.where(number).join(word, "word").select("key", "word", "n", F.col("share").alias("factor"))
     unknown = outer.where(~number).join(word, "word").join(context, "key").select("key", "word", "n", (F.lit(total) / weight * F.col("share")).alias("factor"))
-    tables = [
-        inner.where(F.col("n") < kept).select("key", "word", "n", F.lit(1.0).alias("factor")),
-        known,
-        unknown,
-        context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("n"), F.lit(1.0).alias("factor")),
-        counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), "n", F.lit(1.0).alias("factor")),
-    ]
-    out = tables[0].select(*columns)
-    for t in tables[1:]:
-        out = out.unionByName(t.select(*columns))
-    return out
+    of_context = context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("n"), F.lit(1.0).alias("factor"))
+    of_word = counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), "n", F.lit(1.0).alias("factor"))
+    whole = known.unionByName(unknown).unionByName(of_context).unionByName(of_word)
+    return materialise(whole.select("key", "word", F.col("n").cast("double").alias("n"), "factor"), "op8-rest")
+
+
+def _release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; shuffles that ended go with the driver's next collection."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def train(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int = ORDER) -> tuple[bytes, DataFrame, dict]:
-    """The packed trie, the table of what isn't in it, and {total, types}."""
+    """The packed trie, the table of what its vocabulary lacks, and {total, types}."""
     spark = docs.sparkSession
     text = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     counted = materialise(text.mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op8-words")
@@ -293,7 +297,7 @@ def train(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
         by = np.argsort(k)
         left = None
         if n == 2:
-            rest = _rest(counted, found, least, bound, float(floor))
+            rest = _rest(counted, found, least, float(floor))
             # A vocabulary word's successors, those outside the vocabulary included: at most one row for each.
             number = F.when(F.col("word") == PAIR, F.shiftright("key", 24)).otherwise(F.col("key"))
             after = found.select(number.alias("id")).where(F.col("id").between(0, NUMBERS - 1)).groupBy("id").agg(F.count(F.lit(1)).alias("types")).toArrow()
@@ -305,11 +309,13 @@ def train(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
         parts[f"backoff.{n}"] = np.zeros(len(k), np.uint16)
         context_n, context_count = len(k), c[by]
         trie_of.unpersist()
+        _release(spark, found)
+    _release(spark, counted)
     return pack(parts), rest, {"total": int(total), "types": int(types)}
 
 
 def score_tokens(trie: Trie, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log10 of its probability as far as the trie knows it, log10(c + 1) of vocabulary words, and whether no n-gram was found."""
+    """Per token: log10 of its probability as far as the trie knows it, log10(c + 1) of vocabulary words, and 1 where no n-gram was found, 0 where the pair alone isn't in the trie, else -1."""
     known = ids >= 0
     plus = np.zeros(len(ids))
     plus[known] = np.log10(trie.count[ids[known]] + 1.0)
@@ -326,17 +332,22 @@ def score_tokens(trie: Trie, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
         miss = todo & (context >= 0)
         spent[miss] += restore(trie.backoff[n - 2][context[miss]])
     value[todo] = spent[todo] + unigram[todo]
-    return value, plus, todo
+    absent = todo if order == 2 else trie.successor(0, contexts(trie, ids, at, 2), ids) < 0
+    return value, plus, np.where(todo, 1, np.where(absent, 0, -1))
 
 
 def _score(trie_of):
-    """(row, key, word, amount): four sums per document, and a row for whatever a token needs of the rest."""
+    """(row, key, word, amount): four sums per document, and a row for whatever a token needs of the rest.
+
+    Amounts of vocabulary pairs are negative in held-out documents, whose tokens aren't counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(trie_of.value)
         floor = float(trie.total + trie.types + 1)
         for batch in batches:
             row_id = batch.column("row").to_numpy()
+            sign = np.where(batch.column("held_out").to_numpy(zero_copy_only=False), -1.0, 1.0)
             for i, j, raw, offs in pieces(batch.column("text")):
                 hashes, at = tokens(raw, offs)
                 ids = trie.word_ids(hashes)
@@ -353,8 +364,10 @@ def _score(trie_of):
                 context = contexts(trie, ids, at, 2)
                 share = np.ones(len(ids))
                 share[context >= 0] = floor / (DISCOUNT * np.maximum(trie.successors[context[context >= 0]], 1))
-                inner = np.flatnonzero(miss & (ids >= 0) & (context >= 0))
-                amount = (share[inner] / (trie.count[ids[inner]] + 1)).astype(np.float32).astype(float)
+                inner = np.flatnonzero((miss >= 0) & (ids >= 0) & (context >= 0))
+                # A pair that is only counted here, as a longer n-gram was found, gains next to nothing.
+                amount = np.where(miss[inner] > 0, share[inner] / (trie.count[ids[inner]] + 1), 1e-30)
+                amount = (amount * sign[i:j][of[inner]]).astype(np.float32).astype(float)
                 need(inner, (context[inner] << 24) | ids[inner], np.full(len(inner), PAIR), amount)
                 rare, first, second = outside(hashes, at, ids, context)
                 need(rare, first, second.view(np.int64), share[rare])
@@ -374,34 +387,37 @@ def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
     ship(spark)
     trie, rest, facts = train(docs, head, ngrams, order)
     trie_of = spark.sparkContext.broadcast(trie)
-    # Rows are told apart by id and text, so a row scanned twice is the same row.
-    text = F.coalesce("text", F.lit(""))
-    given = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"))
-    kind, n, amount = F.col("word"), F.col("n"), F.col("amount")
+    narrow = docs.select("doc_id", "text")
+    repeats = narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
+    placed = numbered(narrow) if repeats else narrow.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    given = placed.select("row", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    needed = given.select("row", "held_out", "text").mapInArrow(_score(trie_of), "row long, key long, word long, amount double")
+    kind, n, amount, factor = (F.col(x) for x in ("word", "n", "amount", "factor"))
+    # Tokens and the rest's rows (those without amount) meet by what the tokens miss.
+    meeting = Window.partitionBy("key", "word")
+    seen = F.when(kind == PAIR, F.sum((amount > 0).cast("int")).over(meeting)).otherwise(F.max("n").over(meeting))
+    met = (
+        needed.withColumns({"n": F.lit(None).cast("double"), "factor": F.lit(None).cast("double")})
+        .unionByName(rest.withColumns({"row": F.lit(None).cast("long"), "amount": F.lit(None).cast("double")}))
+        .select("row", "word", "amount", seen.cast("double").alias("n"), F.when(kind == PAIR, 1.0).otherwise(F.max("factor").over(meeting)).alias("factor"))
+        .where(amount.isNotNull() & ((n > 0) | (n <= 0) & (kind == CONTEXT) | kind.between(VALUE, TOKENS)))
+    )
     word = kind == WORD
     gain = (
         F.when(kind == VALUE, amount)
         .when(word, F.log10(n + 1))
         .when(kind == CONTEXT, n)
-        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p((n - DISCOUNT) * amount * F.col("factor")) / float(np.log(10)))
+        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p((n - DISCOUNT) * F.abs(amount) * factor) / float(np.log(10)))
     )
-    needed = given.select("row", "text").mapInArrow(_score(trie_of), "row long, key long, word long, amount double")
-    sums = (
-        needed.join(rest, ["key", "word"], "left")
-        .where(n.isNotNull() | kind.between(VALUE, TOKENS))
-        .groupBy("row")
-        .agg(
-            F.sum(gain).alias("value"),
-            F.sum(F.when(kind == PLUS, amount).when(word, F.log10(n + 1))).alias("plus"),
-            F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
-            F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
-            F.count(F.when(kind == TOKENS, 1)).alias("rows"),  # rows that repeat id and text
-        )
+    sums = met.groupBy("row").agg(
+        F.sum(gain).alias("value"),
+        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(n + 1))).alias("plus"),
+        F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
+        F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
     )
     floor = F.lit(float(np.log10(facts["total"] + facts["types"] + 1)))
-    each = [(F.col(x) / F.col("rows")).alias(x) for x in ("value", "plus", "known", "tokens")]
     return (
         given.select("row", "doc_id", "held_out")
-        .join(sums.select("row", *each), "row")
+        .join(sums, "row")
         .select("doc_id", "held_out", F.round("tokens").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(facts["total"]).cast("long").alias("train_tokens"), (F.col("plus") - F.col("tokens") * floor).alias("base_score"), F.col("value").alias("score"))
     )
