@@ -244,22 +244,22 @@ def _threshold(counted: DataFrame, rows: int) -> int:
 
 
 def _rest(counted: DataFrame, pairs: DataFrame, least: int, total: float) -> DataFrame:
-    """(key, word, n, factor) of words and contexts outside the trie's vocabulary, and of pairs with such a word.
+    """(key, word, amount) of words and contexts outside the trie's vocabulary, and of pairs with such a word.
 
-    A context's n is the logarithm of its back-off weight. A pair's gain is log10(1 + (n - D) f), f being the product of
-    this table's factor and the one that the scoring side knows of vocabulary words.
+    A word's amount is its count, a context's the logarithm of its back-off weight, a pair's (n - D) times what is known
+    here of its factor; the scoring side knows the part of vocabulary words.
     """
     outer = pairs.where(F.col("word") != PAIR)
     number = F.col("key").between(0, NUMBERS - 1)
     word = counted.select(F.col("key").alias("word"), (F.lit(1.0) / (F.col("n") + 1)).alias("share"))
     context = outer.where(~number).groupBy("key").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("c"))
-    weight = F.lit(DISCOUNT) * F.col("types")
-    known = outer.where(number).join(word, "word").select("key", "word", "n", F.col("share").alias("factor"))
-    unknown = outer.where(~number).join(word, "word").join(context, "key").select("key", "word", "n", (F.lit(total) / weight * F.col("share")).alias("factor"))
-    of_context = context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("n"), F.lit(1.0).alias("factor"))
-    of_word = counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), "n", F.lit(1.0).alias("factor"))
+    weight, over = F.lit(DISCOUNT) * F.col("types"), F.col("n") - DISCOUNT
+    known = outer.where(number).join(word, "word").select("key", "word", (over * F.col("share")).alias("amount"))
+    unknown = outer.where(~number).join(word, "word").join(context, "key").select("key", "word", (over * F.lit(total) / weight * F.col("share")).alias("amount"))
+    of_context = context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("amount"))
+    of_word = counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), F.col("n").cast("double").alias("amount"))
     whole = known.unionByName(unknown).unionByName(of_context).unionByName(of_word)
-    return materialise(whole.select("key", "word", F.col("n").cast("double").alias("n"), "factor"), "op8-rest")
+    return materialise(whole, "op8-rest")
 
 
 def _release(spark: SparkSession, *tables: DataFrame) -> None:
@@ -392,26 +392,26 @@ def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
     placed = numbered(narrow) if repeats else narrow.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     given = placed.select("row", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     needed = given.select("row", "held_out", "text").mapInArrow(_score(trie_of), "row long, key long, word long, amount double")
-    kind, n, amount, factor = (F.col(x) for x in ("word", "n", "amount", "factor"))
-    # Tokens and the rest's rows (those without amount) meet by what the tokens miss.
+    kind, amount, found = F.col("word"), F.col("amount"), F.col("found")
+    # Tokens and the rest's rows (those without row) meet by what the tokens miss.
     meeting = Window.partitionBy("key", "word")
-    seen = F.when(kind == PAIR, F.sum((amount > 0).cast("int")).over(meeting)).otherwise(F.max("n").over(meeting))
+    own = F.sum((amount > 0).cast("int")).over(meeting) - DISCOUNT
+    others = F.max(F.when(F.col("row").isNull(), amount)).over(meeting)
     met = (
-        needed.withColumns({"n": F.lit(None).cast("double"), "factor": F.lit(None).cast("double")})
-        .unionByName(rest.withColumns({"row": F.lit(None).cast("long"), "amount": F.lit(None).cast("double")}))
-        .select("row", "word", "amount", seen.cast("double").alias("n"), F.when(kind == PAIR, 1.0).otherwise(F.max("factor").over(meeting)).alias("factor"))
-        .where(amount.isNotNull() & ((n > 0) | (n <= 0) & (kind == CONTEXT) | kind.between(VALUE, TOKENS)))
+        needed.unionByName(rest.withColumn("row", F.lit(None).cast("long")))
+        .select("row", "word", "amount", F.when(kind == PAIR, F.when(own > 0, own)).otherwise(others).alias("found"))
+        .where(F.col("row").isNotNull() & (found.isNotNull() | kind.between(VALUE, TOKENS)))
     )
     word = kind == WORD
     gain = (
         F.when(kind == VALUE, amount)
-        .when(word, F.log10(n + 1))
-        .when(kind == CONTEXT, n)
-        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p((n - DISCOUNT) * F.abs(amount) * factor) / float(np.log(10)))
+        .when(word, F.log10(found + 1))
+        .when(kind == CONTEXT, found)
+        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p(found * F.abs(amount)) / float(np.log(10)))
     )
     sums = met.groupBy("row").agg(
         F.sum(gain).alias("value"),
-        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(n + 1))).alias("plus"),
+        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(found + 1))).alias("plus"),
         F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
         F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
     )
