@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup, suffix_dedup, token_alignment, url_filters
+from ledgerline.llm import centroid_clustering, decontamination, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, substring_dedup, suffix_dedup, token_alignment, toxicity, url_filters
 from ledgerline.sources.tables import table
 
 
@@ -52,8 +52,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_pii, op3_decontamination, op4_mixing, op5_language_id, op6_ngram_join, op7_substring_dedup, op8_lm_scoring, op9_url_filters, op10_exact_dedup, op11_token_alignment)
+    for f in (op1_suffix_dedup, op2_pii, op3_decontamination, op4_mixing, op5_language_id, op6_ngram_join, op7_substring_dedup, op8_lm_scoring, op9_url_filters, op10_exact_dedup, op11_token_alignment, op12_centroid_clustering, op13_toxicity)
 }
-ORACLES = {"op9_url_filters": url_filters.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op9_url_filters": url_filters.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_centroid_clustering": centroid_clustering.ORACLE}
