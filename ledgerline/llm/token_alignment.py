@@ -34,6 +34,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from ledgerline.llm.kernels import pieces
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAD = 1 << 20
-CACHED = 4 << 20
+CACHED = 1 << 19
 #: Between two characters that are not white space, a single space starts a token in both.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 BESIDE = re.compile(r" \s|\s ")
@@ -86,25 +87,32 @@ class Tokenisers:
     """Both tokenisers and the bytes of their tokens."""
 
     def __init__(self, files: Files):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(files.a.decode())
-        self.a.encode_special_tokens = True
+        self.files = files
         self.b = SentencePieceProcessor(model_proto=files.b)
-        char = byte_characters()
-        size = self.a.get_vocab_size()
-        self.bytes_a = [bytes(char[c] for c in t) if t and all(c in char for c in t) else (t or "").encode() for t in map(self.a.id_to_token, range(size))]
+        told = json.loads(files.a)
+        split, bpe, char = told.get("pre_tokenizer") or {}, told["model"], byte_characters()
+        names = {i: t for t, i in bpe["vocab"].items()} | {x["id"]: x["content"] for x in told.get("added_tokens") or []}
+        read = lambda t: bytes(char[c] for c in t) if all(c in char for c in t) else t.encode()
+        self.bytes_a = [read(names.get(i, "")) for i in range(max(names) + 1)]
         pieces_b = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces_b)]
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        told = json.loads(files.a)
-        split, bpe = told.get("pre_tokenizer") or {}, told["model"]
         by_pattern = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not told.get("normalizer")
         self.units = bool(by_pattern) and not any(MARK in p.lstrip(MARK) for p in pieces_b)
         self.fast = self._ranked(bpe) if self.units else None
 
+    @cached_property
+    def a(self):
+        """A's own tokeniser, loaded where the ranks don't serve."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        a = Tokenizer.from_str(self.files.a.decode())
+        a.encode_special_tokens = True
+        return a
+
     def _ranked(self, bpe: dict):
         """A's entries as ranks, which encode faster; only where every merge has its entry in order."""
         from tiktoken import Encoding
@@ -154,7 +162,8 @@ class Tokenisers:
         return a, b, *counts
 
     def _each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        spaced = [" " + u for u in units]
+        a = [self.fast.encode_ordinary(u) for u in spaced] if self.fast else [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
         for i, u in enumerate(units):
             given = (" " + u).encode()
