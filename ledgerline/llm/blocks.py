@@ -163,9 +163,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
         return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file long, path string")
-    placed = docs.withColumns({"path": F.col("_metadata.file_path"), "place": F.col("_metadata.row_index")})
-    return placed.join(F.broadcast(files), "path").select(*docs.columns, (F.shiftleft("file", 40) + F.col("place")).alias("row"))
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_numbered_file long, _numbered_path string")
+    placed = docs.withColumns({"_numbered_path": F.col("_metadata.file_path"), "_numbered_place": F.col("_metadata.row_index")})
+    return placed.join(F.broadcast(files), "_numbered_path").select(*docs.columns, (F.shiftleft("_numbered_file", 40) + F.col("_numbered_place")).alias("row"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ score is the posterior of the best language.
 
 Fitting reads only labelled documents outside the held-out fold, at most about
 ``SAMPLE_ROWS`` of them and of each language at least ``EACH`` (all, if it has fewer),
-chosen by a hash of their ids: the stated bound of the sample. Whole texts count. Word and
+chosen by a hash of their rows (ids may be missing or repeat): the stated bound of the sample. Whole texts count. Word and
 n-gram counts are aggregated in the cluster, and the model keeps every word and n-gram of
 the sample, so that its size is bounded by the sample's texts alone.
 
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise, ship
+from ledgerline.llm.blocks import numbered
 from ledgerline.llm.kernels import BYTE_VALUE, U64, Rolling, mix64, pieces, string_parts
 
 FOLDS, FOLD = 5, 0
@@ -76,12 +77,12 @@ def _table(counted: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.nda
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
     """The model of the labelled documents outside the held-out fold."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    labelled = numbered(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("row", "lang", "text")
     rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = sample_rows / max(1, sum(rows.values()))
     shares = {lang: min(1.0, max(share, EACH / n)) for lang, n in rows.items()}
     least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(x * (1 << 30)))) for lang, x in shares.items()], F.lit(0))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < least)
+    chosen = labelled.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < least)
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z\u0080-\x{10FFFF}]+"), F.lit(0))).alias("unit")).groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n"))
     words = materialise(words, "op5-words")
     languages = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

@@ -13,11 +13,12 @@ That order is resolved in two steps so that no source is ever sorted in one task
 words per (source, one of 65,536 hash buckets) first, then only documents of the one
 bucket in which a source's limit falls. One last document, the nearest in size to what is
 still wanting, closes the gap. The draw depends on ids and the seed alone,
-so reruns agree whatever the partitioning.
+so reruns agree whatever the partitioning; if ids repeat or several are missing, it depends on each row's place
+in its file as well, and reruns over the same files agree.
 
 Defined cases: null and empty text have size 0 and are taken 0; a null source is a
 source of its own; a source whose words are all zero has target 0; rows that repeat a
-doc_id are treated alike row by row; an empty table gives no rows.
+doc_id, or have none, are drawn one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise
+from ledgerline.llm.blocks import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
@@ -68,10 +70,11 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, weights=weights_by_rank) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``."""
+    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
+    placed = numbered(docs) if repeats else docs.withColumn("row", F.lit(0).cast("long"))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "row") if repeats else F.xxhash64(F.lit(seed), "doc_id")
     sized = materialise(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("draw")
-        ).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 16), F.lit(BUCKETS)).cast("int")),
+        placed.select("doc_id", "row", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 16), F.lit(BUCKETS)).cast("int")),
         "op4-sizes",
     )
     sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("size")), "op4-sources")
@@ -87,21 +90,21 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, weights=weig
         "f.source", "f.bucket", "f.before", "f.after", "g.source_size", "g.target", "g.whole", "g.want"
     )
     every = sized.alias("d").join(edge.alias("e"), same("d", "e") & (F.col("d.bucket") == F.col("e.bucket")) & (F.col("d.size") > 0)).select(
-        "d.doc_id", "d.source", "d.size", "d.draw", "d.bucket", "e.before", "e.after", "e.source_size", "e.target", "e.whole", "e.want"
+        "d.doc_id", "d.row", "d.source", "d.size", "d.draw", "d.bucket", "e.before", "e.after", "e.source_size", "e.target", "e.whole", "e.want"
     )
     at_limit = F.expr("after > want and before < want")
     settled = every.where(~at_limit).withColumn("extra", F.when(F.col("after") <= F.col("want"), 1).otherwise(0))
     split = every.where(at_limit)
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.col("before") + F.sum("size").over(within)
     split = split.withColumn("extra", F.when(reached <= F.col("want"), 1).otherwise(0))
     drawn = materialise(settled.unionByName(split), "op4-drawn")
     # What is still wanting after the last document that fits whole: the one document left whose size comes nearest to it.
     lack = drawn.groupBy("source").agg((F.first("want") - F.sum(F.col("extra") * F.col("size"))).alias("lack")).where("lack > 0")
     open_ = drawn.where("extra = 0").alias("d").join(lack.alias("l"), same("d", "l")).where(F.abs(F.col("l.lack") - F.col("d.size")) < F.col("l.lack"))
-    last = open_.groupBy("d.source").agg(F.min_by(F.struct("d.doc_id", "d.draw", "d.size"), F.struct(F.abs(F.col("l.lack") - F.col("d.size")), F.col("d.draw"), F.col("d.doc_id"))).alias("x"))
-    last = last.select(F.col("source"), F.col("x.doc_id").alias("doc_id"), F.col("x.draw").alias("draw"), F.col("x.size").alias("size"))
-    chosen = same("d", "x") & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.draw") == F.col("x.draw")) & (F.col("d.size") == F.col("x.size")) & (F.col("d.extra") == 0)
+    last = open_.groupBy("d.source").agg(F.min_by(F.struct("d.doc_id", "d.row", "d.draw", "d.size"), F.struct(F.abs(F.col("l.lack") - F.col("d.size")), F.col("d.draw"), F.col("d.doc_id"), F.col("d.row"))).alias("x"))
+    last = last.select(F.col("source"), F.col("x.doc_id").alias("doc_id"), F.col("x.row").alias("row"), F.col("x.draw").alias("draw"), F.col("x.size").alias("size"))
+    chosen = same("d", "x") & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.row") == F.col("x.row")) & (F.col("d.draw") == F.col("x.draw")) & (F.col("d.size") == F.col("x.size")) & (F.col("d.extra") == 0)
     drawn = drawn.alias("d").join(last.alias("x"), chosen, "left").select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", "d.whole", F.when(F.col("x.size").isNotNull(), 1).otherwise(F.col("d.extra")).alias("extra"))
     none = sized.where("size = 0").alias("d").join(goal.alias("g"), same("d", "g")).select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", F.lit(0).cast("long").alias("copies"))
     cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies")]

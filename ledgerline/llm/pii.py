@@ -112,11 +112,11 @@ def listed(spans: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, context) for terms that stand near a base span."""
-    one = found.where(F.size("spans") > 0).select("doc_id", "near")
-    one = one.select("doc_id", F.explode("near").alias("n"))
+    """(row, entity, term, context) for terms that stand near a base span; rows count, whatever their ids."""
+    one = found.where(F.size("spans") > 0).select("row", "near")
+    one = one.select("row", F.explode("near").alias("n"))
     return one.select(
-        "doc_id",
+        "row",
         F.col("n.entity").alias("entity"),
         F.xxhash64("n.around").alias("context"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("n.around"), F.lit(TERM), F.lit(0)))).alias("term"),
@@ -126,7 +126,7 @@ def contexts(found: DataFrame) -> DataFrame:
 def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold, from counts over every document."""
     near = contexts(found)
-    pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("k"))
+    pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("k"))
     # PMI is at most IC, so a pair whose shrinkage alone is below the threshold can't reach it.
     pairs = materialise(pairs.where(F.col("k") >= F.lit(threshold) * (F.col("k") + 1)), "op2-pairs")
     held = found.where(F.size("spans") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
@@ -171,7 +171,7 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD, keep_text: bool = Fa
         ),
     )
     found = found.select(
-        "doc_id", F.xxhash64("text").alias("h"), "spans", around.alias("near"), *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), *(["text"] if keep_text else [])
+        "doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), "spans", around.alias("near"), *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), *(["text"] if keep_text else [])
     )
     found = materialise(found, "op2-spans")
     terms = materialise(disclosing_terms(found, docs, threshold).select("term").distinct(), "op2-terms")
