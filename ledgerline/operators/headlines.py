@@ -69,6 +69,34 @@ def structural_keep(edges: DataFrame, decls: DataFrame, always: DataFrame) -> Da
     return found.where("i <> 1 or o <> 1 or x = 1").select("node").unionByName(always.select("node")).distinct()
 
 
+def collapse(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """(src, dst, witness, collapsed): the edges among kept nodes once private chains are contracted, with the nodes between.
+
+    Every node that isn't kept has one dependency and one consumer (``structural_keep``). Each points at its consumer;
+    rounds of pointer doubling join a node's chain with its end's chain, so that a chain of n nodes takes log n rounds.
+    Rings of private nodes never end and hang on nothing kept: they are left when a round settles no more. An edge that
+    comes back to its source is left out.
+    """
+    kept = keep.select("node").distinct()
+    edges = materialise(edges.select("src", "dst").distinct(), "collapse")
+    marked = kept.select(F.col("node").alias("dst"), F.lit(True).alias("done"))
+    onward = edges.join(kept.select(F.col("node").alias("src")), "src", "left_anti").join(marked, "dst", "left")
+    chain = materialise(onward.select(F.col("src").alias("node"), F.col("dst").alias("end"), F.array("src").alias("path"), F.coalesce("done", F.lit(False)).alias("done")), "collapse")
+    left = chain.where("not done").count()
+    while left:
+        ahead = chain.select(F.col("node").alias("end"), F.col("end").alias("then"), F.col("path").alias("more"), F.col("done").alias("settled"))
+        moved = chain.where("not done").join(ahead, "end").select("node", F.col("then").alias("end"), F.concat("path", "more").alias("path"), F.col("settled").alias("done"))
+        chain = materialise(chain.where("done").unionByName(moved), "collapse")
+        now = chain.where("not done").count()
+        if now == left:
+            break
+        left = now
+    out = edges.join(kept.select(F.col("node").alias("src")), "src")
+    direct = out.join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", F.array("src", "dst").alias("witness"))
+    through = out.join(chain.where("done").withColumnRenamed("node", "dst"), "dst").select("src", F.col("end").alias("dst"), F.concat(F.array("src"), "path", F.array("end")).alias("witness"))
+    return direct.unionByName(through).where("src <> dst").distinct().withColumn("collapsed", F.size("witness") - 2)
+
+
 def cluster_stats(edges: DataFrame, decls: DataFrame, by: str) -> DataFrame:
     """Per library or module: nodes, edges inside, edges in from others, edges out to others."""
     group = decls.select(F.col("name").alias("node"), F.col(by).alias("cluster"))
