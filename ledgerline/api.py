@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise
 from ledgerline.functions.text import prose, without_control
-from ledgerline.operators import documents, graph, headlines, ledgers, logs, modules, names, policies, sources, statements, textaudit
+from ledgerline.operators import correspondence, documents, graph, headlines, ledgers, logs, modules, names, policies, sources, statements, textaudit
 from ledgerline.sources import loaders
 
 ITEMS = {"census": ("items",), "review": ("rows",), "results": ("results", "items"), "atoms": ("atoms",), "literature": ("works",)}
@@ -372,7 +372,7 @@ def foundations_validate(p: Project, nodes: DataFrame, dependencies: DataFrame,
 
 def validate(p: Project, kind: str) -> DataFrame:
     """Findings on all documents of a kind: census, review, results or atoms."""
-    rules = {"census": documents.validate_census, "review": documents.validate_review, "results": documents.validate_results, "atoms": documents.validate_atoms}
+    rules = {"census": documents.validate_census, "review": lambda x: documents.validate_review(x).unionByName(correspondence.of_rows(x)), "results": documents.validate_results, "atoms": documents.validate_atoms}
     return rules[kind](p.ledger(kind)).orderBy("document", "location", "code")
 
 

@@ -69,10 +69,27 @@ def _in(word: Column, words: Column) -> Column:
     return F.coalesce(F.array_contains(words, word), F.lit(False))
 
 
-def validate(reviews: DataFrame, fragments: DataFrame | None = None, relations: dict[str, tuple[bool, bool]] | None = None) -> DataFrame:
-    """(review, level, code, location); fragments are (review, fragment, text); relations add to the vocabulary: name to (needs evidence, needs an excerpt)."""
+def of_rows(docs: DataFrame) -> DataFrame:
+    """The findings on the rows of review documents (document, body): (document, level, code, location).
+
+    A row is judged under its id, with the names it declares; a document's own relations add to the vocabulary. States of clauses are not judged here.
+    """
+    from ledgerline.operators.documents import items, names, vocabulary
+
+    row = F.col("row")
+    rows = items(docs.withColumn("vocabulary", vocabulary(F.col("body"), "relation_definitions")), "rows", keep=("vocabulary",)).where(_is_object(row))
+    rid = F.nullif(_text(row, "id"), F.lit(""))
+    reviews = rows.where(rid.isNotNull()).select(F.concat_ws("\u0001", "document", F.col("pos").cast("string")).alias("review"), rid.alias("location"), F.to_json(row).alias("body"), names(row, "lean_declarations").alias("declarations"), "vocabulary")
+    found = validate(reviews, check_status=False)
+    return found.select(F.substring_index("review", "\u0001", 1).alias("document"), "level", "code", "location")
+
+
+def validate(reviews: DataFrame, fragments: DataFrame | None = None, relations: dict[str, tuple[bool, bool]] | None = None, check_status: bool = True) -> DataFrame:
+    """(review, level, code, location); fragments are (review, fragment, text); relations add to the vocabulary: name to (needs evidence, needs an excerpt), and so do the names in a column ``vocabulary``."""
     more = relations or {}
-    vocabulary = F.array(*[F.lit(x) for x in (*RELATIONS, *more)])
+    vocabulary = F.concat(F.array(*[F.lit(x) for x in (*RELATIONS, *more)]), F.col("vocabulary"))
+    if "vocabulary" not in reviews.columns:
+        reviews = reviews.withColumn("vocabulary", F.array().cast("array<string>"))
     evidence = F.array(*[F.lit(x) for x in (*NEED_EVIDENCE, *(k for k, v in more.items() if v[0] and k not in RELATIONS))])
     quoting = F.array(*[F.lit(x) for x in (*NEED_EXCERPT, *(k for k, v in more.items() if v[1] and k not in RELATIONS))])
     words = lambda x: F.array(*[F.lit(w) for w in x])
@@ -81,7 +98,7 @@ def validate(reviews: DataFrame, fragments: DataFrame | None = None, relations:
     parsed = F.filter(_list(v, "source_fragments"), _is_object)
     clauses = F.when(F.size(_list(v, "clause_map")) > 0, _list(v, "clause_map")).otherwise(_list(v, "clauses"))
     role = lambda f: F.coalesce(F.nullif(_text(f, "role"), F.lit("")), F.lit("primary"))
-    rows = reviews.select("review", "location", F.coalesce("declarations", F.array().cast("array<string>")).alias("registered"), F.try_parse_json("body").alias("v"))
+    rows = reviews.select("review", "location", "vocabulary", F.coalesce("declarations", F.array().cast("array<string>")).alias("registered"), F.try_parse_json("body").alias("v"))
     rows = rows.where(_is_object(v)).withColumns({"fragments": parsed, "clauses": clauses, "reading": _text(v, "source_interpretation"), "rationale": _text(v, "nonlocal_rationale")}).drop("v")
     declared = F.transform("fragments", lambda f: F.struct(_text(f, "id").alias("id"), role(f).alias("role")))
     rows = rows.withColumn("declared", F.filter(declared, lambda f: f["id"] != ""))
@@ -111,9 +128,9 @@ def validate(reviews: DataFrame, fragments: DataFrame | None = None, relations:
 
     # Clauses.
     c = F.col("clause")
-    each = rows.select("review", "location", "registered", "declared", "reading", "rationale", F.posexplode("clauses").alias("at", "clause")).where(_is_object(c))
+    each = rows.select("review", "location", "vocabulary", "registered", "declared", "reading", "rationale", F.posexplode("clauses").alias("at", "clause")).where(_is_object(c))
     each = each.select(
-        "review", "location", "registered", "declared", "reading", "rationale", "at",
+        "review", "location", "vocabulary", "registered", "declared", "reading", "rationale", "at",
         F.coalesce(F.nullif(_text(c, "status"), F.lit("")), F.lit("claimed_exact")).alias("status"),
         *[_text(c, f).alias(f) for f in ("relation", "kind", "source_fragment", "source_excerpt", "lean_binder")],
         _list(c, "source_targets").alias("source_targets"), _list(c, "lean_targets").alias("lean_targets"),
@@ -141,7 +158,7 @@ def validate(reviews: DataFrame, fragments: DataFrame | None = None, relations:
     cites = lambda x: F.coalesce(F.nullif(x["fragment"], F.lit("")), F.nullif(F.col("source_fragment"), F.lit("")))
     known_s, known_l = lambda x: x["kind"].isin(*SOURCE_KINDS), lambda x: x["kind"].isin(*LEAN_KINDS)
     on_clause = _rules(
-        ("error", "semantic-clause-status", ~F.col("status").isin(*STATUSES), loc),
+        ("error", "semantic-clause-status", F.lit(check_status) & ~F.col("status").isin(*STATUSES), loc),
         ("error", "clause-relation", (relation != "") & ~_in(relation, vocabulary), loc),
         ("error", "clause-kind", (F.col("kind") != "") & ~_in(F.col("kind"), words(KINDS)), loc),
         ("error", "clause-fragment", (fragment != "") & ~_in(fragment, F.col("ids")), loc),

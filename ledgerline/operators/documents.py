@@ -74,10 +74,10 @@ def _containers(docs: DataFrame, code: str, *containers: str) -> DataFrame:
     return docs.withColumn("n", size).where(F.col("n").isNull() | (F.col("n") <= 0)).select("document", level.alias("level"), F.lit(code).alias("code"), F.lit("").alias("location"))
 
 
-def _located(rows: DataFrame, container: str) -> DataFrame:
-    """Adds id (null unless a non-empty string), loc, and nth: the how-manyth row of its id."""
+def _located(rows: DataFrame, container: str, unnamed: str | None = None) -> DataFrame:
+    """Adds id (null unless a non-empty string), spot, nth (the how-manyth row of its id), and loc: the id, else ``unnamed`` and the row's number, else the spot."""
     rid = F.when((type_of(F.col("row"), "id") == "STRING") & (F.trim(value(F.col("row"), "id")) != ""), value(F.col("row"), "id"))
-    rows = rows.withColumn("id", rid).withColumn("spot", F.concat(F.lit(f"{container}["), F.col("pos").cast("string"), F.lit("]"))).withColumn("loc", F.coalesce("id", "spot"))
+    rows = rows.withColumn("id", rid).withColumn("spot", F.concat(F.lit(f"{container}["), F.col("pos").cast("string"), F.lit("]"))).withColumn("loc", F.coalesce("id", F.concat(F.lit(unnamed), F.col("pos").cast("string")) if unnamed else "spot"))
     return rows.withColumn("nth", F.when(F.col("id").isNotNull(), F.row_number().over(Window.partitionBy("document", "id").orderBy("pos"))))
 
 
@@ -85,7 +85,7 @@ def validate_census(docs: DataFrame) -> DataFrame:
     """Rules of a census: shape, ids, vocabularies, contradictions, references, and gaps or blockers that nothing refers to."""
     fields = ("status_definitions", "verification_definitions", "importance_definitions", "semantic_alignment_definitions", "completion_certification_definitions", "gaps", "blockers")
     docs = docs.withColumns({f: vocabulary(F.col("body"), f) for f in fields})
-    rows = _located(items(docs, "items", keep=fields), "items")
+    rows = _located(items(docs, "items", keep=fields), "items", "#")
     row, loc = F.col("row"), F.col("loc")
     is_object = type_of(row).startswith("OBJECT")
     status, verification, importance = (value(row, x) for x in ("status", "verification", "importance"))
@@ -217,19 +217,32 @@ def validate_review(docs: DataFrame) -> DataFrame:
 
 
 def against_companion(review: DataFrame, census: DataFrame, link: DataFrame) -> DataFrame:
-    """Findings between a review and the census it stands beside (link: document, census): rows on one side only, other locators, other declarations."""
+    """Findings between a review and the census it stands beside (link: document, census): rows on one side only, other locators, other declarations.
+
+    A review row that doesn't speak of a locator or of declarations isn't compared in it; lists are compared as they stand, in
+    order. A census that is not there, is no JSON, or has no list of items is a finding of its own.
+    """
     row = F.col("row")
-    side = lambda d, c, p: _located(items(d, c), c).where("id is not null").select("document", "id", F.to_json(F.try_variant_get(row, "$.source_locator", "variant")).alias(f"{p}_locator"), F.array_sort(F.array_distinct(names(row, "lean_declarations"))).alias(f"{p}_names"))
-    r = side(review, "rows", "r").join(link, "document")
-    c = side(census, "items", "c").withColumnRenamed("document", "census").join(link, "census").drop("census")
+    told = lambda f: F.nullif(F.to_json(F.try_variant_get(row, f"$.{f}", "variant")), F.lit("null"))
+    side = lambda d, c, p: _located(items(d, c), c).where("id is not null").select("document", "id", F.lit(True).alias(f"{p}_row"), *[x for f in ("source_locator", "lean_declarations") for x in (told(f).alias(f"{p}_{f}"), type_of(row, f).isNotNull().alias(f"{p}_has_{f}"))])
+    there = link.join(census.select(F.col("document").alias("census"), "body", F.lit(True).alias("found")), "census", "left")
+    parsed = F.try_parse_json("body")
+    listed = F.try_variant_get(parsed, "$.items", "array<variant>").isNotNull()
+    fault = F.when(F.col("found").isNull(), "companion-missing").when(parsed.isNull(), "companion-unreadable").when(~listed, "companion-items")
+    there = there.select("document", "census", fault.alias("fault"))
+    faults = there.where("fault is not null").select("document", F.lit("error").alias("level"), F.col("fault").alias("code"), F.lit("").alias("location"))
+    sound = there.where("fault is null").select("document", "census")
+    r = side(review, "rows", "r").join(sound.select("document"), "document", "left_semi")
+    c = side(census, "items", "c").withColumnRenamed("document", "census").join(sound, "census").drop("census").dropDuplicates(["document", "id"])
     both = r.join(c, ["document", "id"], "full_outer")
+    differs = lambda f: F.col("c_row") & F.col(f"r_has_{f}") & ~F.col(f"r_{f}").eqNullSafe(F.col(f"c_{f}"))
     checks = _rules(
-        ("error", "companion-row", F.col("c_names").isNull(), F.col("id")),
-        ("error", "companion-unreviewed", F.col("r_names").isNull(), F.col("id")),
-        ("error", "companion-locator", F.col("c_names").isNotNull() & F.col("r_names").isNotNull() & ~F.col("r_locator").eqNullSafe(F.col("c_locator")), F.col("id")),
-        ("error", "companion-declarations", F.col("c_names") != F.col("r_names"), F.col("id")),
+        ("error", "companion-row", F.col("c_row").isNull(), F.col("id")),
+        ("error", "companion-unreviewed", F.col("r_row").isNull(), F.col("id")),
+        ("error", "companion-locator", differs("source_locator"), F.col("id")),
+        ("error", "companion-declarations", differs("lean_declarations"), F.col("id")),
     )
-    return _out(both, checks)
+    return faults.unionByName(_out(both, checks))
 
 
 def cited_findings(cited: DataFrame, decls: DataFrame, planned: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def censuses(s, d):
 
 
 @query(
-    f"""WITH r AS (SELECT *, 'items[' || CAST(pos AS STRING) || ']' AS spot, CASE WHEN id <> '' THEN id ELSE 'items[' || CAST(pos AS STRING) || ']' END AS loc,
+    f"""WITH r AS (SELECT *, 'items[' || CAST(pos AS STRING) || ']' AS spot, CASE WHEN id <> '' THEN id ELSE '#' || CAST(pos AS STRING) END AS loc,
   row_number() OVER (PARTITION BY o_custkey, id ORDER BY pos) AS nth FROM ({CENSUS}))
 SELECT o_custkey AS document, 'error' AS level, 'id' AS code, spot AS location FROM r WHERE id = ''
 UNION ALL SELECT o_custkey, 'error', 'duplicate-id', spot FROM r WHERE id <> '' AND nth > 1

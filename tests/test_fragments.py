@@ -164,3 +164,10 @@ def test_every_correspondence_finding(spark):
     # Without texts quotes aren't judged; a vocabulary can be extended.
     assert "clause-excerpt" not in {x.code for x in correspondence.validate(reviews).collect()}
     assert {x.review: x.code for x in correspondence.validate(reviews, texts, {"odd": (True, False)}).collect()}["clause-relation"] == "clause-evidence"
+
+
+def test_rows_of_a_review_document(spark):
+    """A row is judged under its id, with its own names and its document's relations."""
+    doc = {"relation_definitions": {"own": ""}, "rows": [{"id": "a", "lean_declarations": ["x.y"], "clauses": [{"relation": "own", "status": "odd", "lean_declarations": ["z.w"]}]}, {"id": "b", "clauses": [{"relation": "odd"}]}, {"clauses": [{"relation": "odd"}]}, 5]}
+    docs = spark.createDataFrame([("d", json.dumps(doc)), ("e", "{}"), ("f", None)], "document string, body string")
+    assert sorted((x.document, x.code, x.location) for x in correspondence.of_rows(docs).collect()) == [("d", "clause-declaration", "a.clause_map[0]"), ("d", "clause-relation", "b.clause_map[0]")]

@@ -137,8 +137,8 @@ def test_census_rules(spark):
     }
     got = rows(documents.validate_census(docs(spark, body, {"items": []}, {"items": [], "draft": True}, {"items": 3})), "document", "level", "code", "location")
     assert got == sorted([
-        ("d0", "error", "duplicate-id", "items[1]"), ("d0", "error", "status", "a"), ("d0", "error", "importance", "a"), ("d0", "error", "row-type", "items[2]"), ("d0", "error", "id", "items[3]"), ("d0", "error", "title", "items[3]"),
-        ("d0", "error", "verification-citations", "items[3]"), ("d0", "error", "compiled-absent", "items[3]"), ("d0", "error", "lean-declarations", "b"), ("d0", "error", "verification-citations", "b"), ("d0", "error", "blocker-ref", "b"),
+        ("d0", "error", "duplicate-id", "items[1]"), ("d0", "error", "status", "a"), ("d0", "error", "importance", "a"), ("d0", "error", "row-type", "items[2]"), ("d0", "error", "id", "items[3]"), ("d0", "error", "title", "#3"),
+        ("d0", "error", "verification-citations", "#3"), ("d0", "error", "compiled-absent", "#3"), ("d0", "error", "lean-declarations", "b"), ("d0", "error", "verification-citations", "b"), ("d0", "error", "blocker-ref", "b"),
         ("d0", "error", "semantic-alignment", "c"), ("d0", "error", "planned-declarations", "c"), ("d0", "error", "semantic-classification", "d"), ("d0", "error", "semantic-detail", "d"), ("d0", "warning", "orphan-gap", "h"),
         ("d1", "error", "items", ""), ("d2", "warning", "items", ""), ("d3", "error", "items", "")], key=str)
 
@@ -163,6 +163,16 @@ def test_review_rules(spark):
     assert rows(documents.against_companion(review, census, link), "code", "location") == [("companion-declarations", "a"), ("companion-locator", "b"), ("companion-row", "z"), ("companion-unreviewed", "q")]
 
 
+def test_companion_rules(spark):
+    """What the review row doesn't speak of isn't compared; lists count in order; a census that can't be read is one finding."""
+    review = docs(spark, {"rows": [{"id": "a"}, {"id": "b", "lean_declarations": ["x", "y"]}, {"id": "c", "lean_declarations": ["x", "y"], "source_locator": None}]}, {"rows": [{"id": "a"}]}, {"rows": []}, {"rows": [{"id": "k"}]})
+    census = docs(spark, {"items": [{"id": "a", "source_locator": {"file": "f"}, "lean_declarations": ["x"]}, {"id": "b", "lean_declarations": ["y", "x"]}, {"id": "c", "lean_declarations": ["x", "y"]}]}, {"items": 5})
+    census = census.unionByName(spark.createDataFrame([("bad", "{")], "document string, body string"))
+    link = spark.createDataFrame([("d0", "d0"), ("d1", "d1"), ("d2", "bad"), ("d3", "nowhere")], "document string, census string")
+    got = rows(documents.against_companion(review, census, link), "document", "code", "location")
+    assert got == [("d0", "companion-declarations", "b"), ("d1", "companion-items", ""), ("d2", "companion-unreadable", ""), ("d3", "companion-missing", "")]
+
+
 def test_cited_names(spark):
     cited = spark.createDataFrame([("r", "A.x"), ("r", "B.x"), ("r", "gone")], "row string, name string")
     decls = spark.createDataFrame([("A.x", "x"), ("A.early", "early")], "name string, short_name string")
