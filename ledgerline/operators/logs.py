@@ -50,6 +50,13 @@ def parse_output(lines: DataFrame, by: str = "run") -> tuple[DataFrame, DataFram
     marked = marked.withColumn("role", role)
     marked = marked.withColumns({"last": F.last("role", ignorenulls=True).over(so_far), "ordinal": F.sum((F.col("role") == "header").cast("int")).over(so_far)})
     marked = marked.withColumn("role", F.coalesce("role", F.when(F.col("last") == "header", "body").otherwise("other")))
+    return diagnostics(marked, by), marked.select(by, "n", "role")
+
+
+def diagnostics(marked: DataFrame, by: str = "run") -> DataFrame:
+    """Diagnostics of lines that have their roles and ordinals (by, n, line, role, ordinal), from a whole log or as a stream gave them."""
+    line = F.col("line")
+    suffix = line.rlike(rf"{LOCATED}{SEVERITY}:\s*")
     rest = F.regexp_extract("line", rf"^{SEVERITY}:\s*(.*)$", 1)
     part = lambda i: F.when(suffix, F.regexp_extract("line", LOCATED, i)).when(rest.rlike(LOCATED), F.regexp_extract(rest, LOCATED, i))
     severity = F.when(suffix, F.regexp_extract("line", rf"{LOCATED}({SEVERITY}):", 4)).otherwise(F.regexp_extract("line", rf"^({SEVERITY}):", 1))
@@ -59,7 +66,7 @@ def parse_output(lines: DataFrame, by: str = "run") -> tuple[DataFrame, DataFram
     text = F.transform("lines", lambda x: x["line"])
     solid = F.array_compact(F.transform(text, lambda x, i: F.when(F.trim(x) != "", i)))
     body = F.when(F.size(solid) == 0, F.array().cast("array<string>")).otherwise(F.slice(text, F.array_min(solid) + 1, F.array_max(solid) - F.array_min(solid) + 1))
-    return found.select(by, "ordinal", "h.*", body.alias("body")), marked.select(by, "n", "role")
+    return found.select(by, "ordinal", "h.*", body.alias("body"))
 
 
 def deduplicate_diagnostics(found: DataFrame) -> DataFrame:
