@@ -62,9 +62,28 @@ def witness_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None)
 
 
 def nearest(edges: DataFrame, seeds: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(seed, node, distance): each seed's nearest node (least name on ties) among ``wanted``, the seed itself excluded."""
-    reached = walk(edges, seeds).where("distance > 0").join(wanted.select("node"), "node", "left_semi")
-    return reached.groupBy("seed").agg(F.min(F.struct("distance", "node")).alias("m")).select("seed", "m.node", "m.distance")
+    """(seed, node, distance): each seed's nearest node (least name on ties) among ``wanted``, the seed itself excluded.
+
+    One search from all wanted nodes against the edges settles every node at once, each with the least name of those that
+    reach it first, so the number of seeds doesn't matter. Only a wanted seed that a ring leads back to itself searches on its own.
+    """
+    step = materialise(edges.select(F.col("dst").alias("node"), F.col("src").alias("up")).distinct(), "steps")
+    front = wanted.select("node", F.col("node").alias("target")).distinct()
+    known, level = materialise(front.select("node", "target", F.lit(0).alias("distance")).where(F.lit(False)), "nearest"), 0
+    while True:
+        level += 1
+        reached = front.join(step, "node").groupBy(F.col("up").alias("node")).agg(F.min("target").alias("target"))
+        front = materialise(reached.join(known.select("node"), "node", "left_anti").withColumn("distance", F.lit(level)), "nearest")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    met = seeds.select("node").distinct().join(known, "node")
+    found = met.where("node <> target").select(F.col("node").alias("seed"), F.col("target").alias("node"), "distance")
+    rings = materialise(met.where("node = target").select("node"), "nearest")
+    if rings.isEmpty():
+        return found
+    walked = walk(edges, rings).where("distance > 0").join(wanted.select("node"), "node", "left_semi")
+    return found.unionByName(walked.groupBy("seed").agg(F.min(F.struct("distance", "node")).alias("m")).select("seed", "m.node", "m.distance"))
 
 
 def peel(edges: DataFrame) -> DataFrame:

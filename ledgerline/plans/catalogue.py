@@ -59,6 +59,10 @@ def parts(s, d):
     return table(s, d, "part").where("p_size = 7").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
 
 
+def every_part(s, d):
+    return table(s, d, "part").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+
+
 def files(s, d):
     return table(s, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text", "doc_id", "source", "lang")
 
@@ -173,14 +177,14 @@ def shortest_witness(s, d):
 
 @query(
     f"""WITH RECURSIVE edges AS ({PART_EDGES}), walked(seed, node, n) AS (
-  SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7
+  SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part
   UNION SELECT w.seed, e.dst, w.n + 1 FROM walked w JOIN edges e ON e.src = w.node
-), hit AS (SELECT seed, n, node FROM walked WHERE n > 0 AND (CAST(split_part(node, '.', 2) AS BIGINT) % 13) = 0)
+), hit AS (SELECT seed, n, node FROM walked WHERE n > 0 AND node IN (SELECT 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_brand = 'Brand#13'))
 SELECT seed, arg_min(node, lpad(CAST(n AS STRING), 4, '0') || node) AS node, CAST(min(n) AS BIGINT) AS distance FROM hit GROUP BY seed"""
 )
 def nearest_predicate(s, d):
-    wanted = table(s, d, "part").where("p_partkey % 13 = 0").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
-    return long(graph.nearest(part_edges(s, d), parts(s, d), wanted), "distance")
+    wanted = table(s, d, "part").where("p_brand = 'Brand#13'").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    return long(graph.nearest(part_edges(s, d), every_part(s, d), wanted), "distance")
 
 
 @query(
@@ -210,12 +214,12 @@ def transitive_reduction(s, d):
 
 
 @query(
-    f"""{REACH}, keep AS (SELECT 'part.' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 7 = 1),
+    f"""{REACH}, keep AS (SELECT 'part.' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_brand < 'Brand#2'),
 among AS (SELECT a, b FROM reach WHERE a IN (SELECT node FROM keep) AND b IN (SELECT node FROM keep) AND a <> b)
 SELECT a AS src, b AS dst FROM among x WHERE NOT EXISTS (SELECT 1 FROM among y JOIN among z ON y.b = z.a WHERE y.a = x.a AND z.b = x.b)"""
 )
 def projected_reduction(s, d):
-    keep = table(s, d, "part").where("p_partkey % 7 = 1").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    keep = table(s, d, "part").where("p_brand < 'Brand#2'").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
     return graph.projected_reduction(part_edges(s, d), keep).select("src", "dst")
 
 
@@ -559,34 +563,34 @@ def policy_violations_direct(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part WHERE p_size = 7 UNION SELECT w.seed, i.dep, w.n + 1 FROM walked w JOIN imports i ON i.module = w.node)
-SELECT seed AS module, arg_min(node, lpad(CAST(n AS STRING), 4, '0') || node) AS forbidden, CAST(min(n) AS BIGINT) AS distance FROM walked WHERE n > 0 AND (CAST(split_part(node, '.', 2) AS BIGINT) % 13) = 0 GROUP BY seed"""
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(seed, node, n) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING), 0 FROM part UNION SELECT w.seed, i.dep, w.n + 1 FROM walked w JOIN imports i ON i.module = w.node)
+SELECT seed AS module, arg_min(node, lpad(CAST(n AS STRING), 4, '0') || node) AS forbidden, CAST(min(n) AS BIGINT) AS distance FROM walked WHERE n > 0 AND node IN (SELECT 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_brand = 'Brand#13') GROUP BY seed"""
 )
 def policy_violations_transitive(s, d):
     i = frame(s, d, IMPORTS).select(F.col("module").alias("src"), F.col("dep").alias("dst"))
-    wanted = table(s, d, "part").where("p_partkey % 13 = 0").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
-    return long(graph.nearest(i, parts(s, d), wanted), "distance").select(F.col("seed").alias("module"), F.col("node").alias("forbidden"), "distance")
+    wanted = table(s, d, "part").where("p_brand = 'Brand#13'").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    return long(graph.nearest(i, every_part(s, d), wanted), "distance").select(F.col("seed").alias("module"), F.col("node").alias("forbidden"), "distance")
 
 
 @query(
     f"""WITH RECURSIVE imports AS ({IMPORTS}), covered(node) AS (SELECT 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 7 UNION SELECT i.dep FROM covered w JOIN imports i ON i.module = w.node),
-excluded AS (SELECT 'part.' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 97 = 5), inherited(node) AS (SELECT node FROM excluded UNION SELECT i.module FROM inherited w JOIN imports i ON i.dep = w.node)
-SELECT 'part.' || CAST(p_partkey AS STRING) AS module, CASE WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM covered) THEN 'covered' WHEN p_partkey % 97 = 5 THEN 'excluded' WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM inherited) THEN 'inherited' ELSE 'uncovered' END AS status FROM part"""
+excluded AS (SELECT 'part.' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_size = 5), inherited(node) AS (SELECT node FROM excluded UNION SELECT i.module FROM inherited w JOIN imports i ON i.dep = w.node)
+SELECT 'part.' || CAST(p_partkey AS STRING) AS module, CASE WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM covered) THEN 'covered' WHEN p_size = 5 THEN 'excluded' WHEN 'part.' || CAST(p_partkey AS STRING) IN (SELECT node FROM inherited) THEN 'inherited' ELSE 'uncovered' END AS status FROM part"""
 )
 def module_coverage_partition(s, d):
     i = frame(s, d, IMPORTS)
     name = F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("module")
-    scope, excluded = table(s, d, "part").select(name), table(s, d, "part").where("p_partkey % 97 = 5").select(name)
+    scope, excluded = table(s, d, "part").select(name), table(s, d, "part").where("p_size = 5").select(name)
     covered = modules.import_closure(i, parts(s, d)).select(F.col("node").alias("module"))
     return modules.coverage_partition(scope, covered, excluded, i)
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(rung, node) AS (SELECT p_partkey % 4, 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 7 UNION SELECT w.rung, i.dep FROM walked w JOIN imports i ON i.module = w.node)
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), walked(rung, node) AS (SELECT p_size % 4, 'part.' || CAST(p_partkey AS STRING) FROM part UNION SELECT w.rung, i.dep FROM walked w JOIN imports i ON i.module = w.node)
 SELECT node, min(rung) AS rung FROM walked GROUP BY node"""
 )
 def rung_closure(s, d):
-    seeds = table(s, d, "part").where("p_size = 7").select((F.col("p_partkey") % 4).alias("rung"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    seeds = table(s, d, "part").select((F.col("p_size") % 4).alias("rung"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
     return modules.rungs(frame(s, d, IMPORTS), seeds)
 
 

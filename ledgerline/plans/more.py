@@ -50,11 +50,11 @@ def statement_closure(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE imports AS ({IMPORTS}), reach(source, node) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 97 = 5
+    f"""WITH RECURSIVE imports AS ({IMPORTS}), reach(source, node) AS (SELECT 'part.' || CAST(p_partkey AS STRING), 'part.' || CAST(p_partkey AS STRING) FROM part WHERE p_size = 5
 UNION SELECT r.source, i.module FROM reach r JOIN imports i ON i.dep = r.node) SELECT node AS module, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM reach GROUP BY node"""
 )
 def admission_closure(s, d):
-    admitted = table(s, d, "part").where("p_partkey % 97 = 5").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
+    admitted = table(s, d, "part").where("p_size = 5").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"))
     walked = graph.walk(frame(s, d, IMPORTS).select(F.col("dep").alias("src"), F.col("module").alias("dst")), admitted)
     return walked.groupBy(F.col("node").alias("module")).agg(F.concat_ws(",", F.array_sort(F.collect_set("seed"))).alias("sources"))
 
@@ -160,9 +160,13 @@ def provenance_markers(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("document")).agg(F.sum(hits).cast("long").alias("notes")).where("notes > 0")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+c AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cluster FROM e)
+SELECT min(ts) AS start, user_id, count(*) AS n FROM c GROUP BY user_id, cluster"""
+)
 def stream_session_clusters(s, d):
-    """Streaming form of gap clusters: rows only."""
+    """Streaming form of gap clusters."""
     stream = extensions.journal(s, d, table(s, d, "events").schema, "events.parquet")
-    return extensions.drain(extensions.session_clusters(stream), "session_clusters")
+    return extensions.drain(extensions.session_clusters(stream), "session_clusters").withColumn("start", F.col("start").cast("timestamp_ntz"))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.session import scratch_dir
+
 
 def journal(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
     """A folder of files as a stream of rows, with event time as a timestamp."""
@@ -22,7 +26,15 @@ def session_clusters(stream: DataFrame, gap: str = "30 minutes", late: str = "1
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return the result held in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there; each batch's result is written by the executors as Parquet, and the last one returned."""
+    folder, done = f"{scratch_dir(stream.sparkSession)}/{name}-{uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{done[-1]}")

@@ -237,3 +237,27 @@ def test_field_is_the_distance_to_the_nearest(spark):
     strict = {x: first_path(adj, x, wanted.__contains__, False) for x in names}
     assert {x.node: x.path for x in consumption.follow(starts, ways, F.lit(False)).collect()} == {x: p for x, p in strict.items() if p}
     assert graph.closure(table, spark.createDataFrame([], "node string")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_nearest_against_plain(spark, seed):
+    """With rings: a wanted seed doesn't count for itself, whichever way leads back."""
+    r = random.Random(seed)
+    names = [f"n{i:02}" for i in range(25)]
+    edges = {(a, b) for a, b in (r.sample(names, 2) for _ in range(30))} | {("r1", "r2"), ("r2", "r1"), ("r2", "n03")}
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+    wanted = {*r.sample(names, 4), "r1"}
+    want = {}
+    for s in {*names, "r1", "r2"}:
+        level, seen = {s}, {s}
+        for n in range(1, 30):
+            level = {y for x in level for y in adj.get(x, ())} - seen
+            seen |= level
+            if level & wanted:
+                want[s] = (min(level & wanted), n)
+                break
+    seeds, goals = (spark.createDataFrame([(x,) for x in sorted(xs)], "node string") for xs in ({*names, "r1", "r2"}, wanted))
+    got = {x.seed: (x.node, x.distance) for x in graph.nearest(spark.createDataFrame(sorted(edges), "src string, dst string"), seeds, goals).collect()}
+    assert got == want
