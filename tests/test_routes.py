@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import consumption, fronts, graph, headlines
+from ledgerline.operators import consumption, fronts, graph, headlines, roadmap
 
 CLAIM = "census string, id string, family string, title string, nth long, declarations array<string>, canonical array<string>, supporting array<string>"
 
@@ -261,3 +261,23 @@ def test_nearest_against_plain(spark, seed):
     seeds, goals = (spark.createDataFrame([(x,) for x in sorted(xs)], "node string") for xs in ({*names, "r1", "r2"}, wanted))
     got = {x.seed: (x.node, x.distance) for x in graph.nearest(spark.createDataFrame(sorted(edges), "src string, dst string"), seeds, goals).collect()}
     assert got == want
+
+
+def test_roadmap(spark):
+    """Exact before short names, libraries, preferred places before shallow ones, repeats, and what is nowhere."""
+    suggested = spark.createDataFrame([("t", "A.x", 1), ("t", "A.x", 5), ("t", "B.y", 2), ("u", "C.z", 1), ("u", "D.gone", 2), ("u", "E.out", 3), ("u", None, 4)], "topic string, name string, nth long")
+    decls = spark.createDataFrame(
+        [("A.x", "Lib/a.lean", "Lib.a"), ("Q.x", "Lib/q.lean", "Lib.q"), ("P.y", "Lib/Deep/er/p.lean", "Lib.Deep.er.p"), ("R.y", "Lib/r.lean", "Lib.r"), ("S.y", "Lib/b.lean", None), ("Q.z", "Libx/z.lean", "Libx.z"), ("E.out", "Other/e.lean", "Other.e"), ("F.out", "Lib/f.lean", "Lib.f"), (None, "Lib/n.lean", "n"), ("G.y", None, "g")],
+        "name string, path string, module string",
+    )
+    found = roadmap.delivery(suggested, decls, ("Lib/",), ("Lib.Deep",))
+    assert {(x.topic, x.name): (x.nth, x.path, x.candidates) for x in found.collect()} == {
+        ("t", "A.x"): (1, "Lib/a.lean", []),
+        ("t", "B.y"): (2, "Lib/Deep/er/p.lean", ["Lib/Deep/er/p.lean", "Lib/b.lean", "Lib/r.lean"]),
+        ("u", "C.z"): (1, None, []),
+        ("u", "D.gone"): (2, None, []),
+        ("u", "E.out"): (3, None, []),
+    }
+    assert sorted(tuple(x) for x in roadmap.topics(found).collect()) == [("t", 2, 2, 1), ("u", 3, 0, 0)]
+    assert {x.path for x in roadmap.delivery(suggested, decls).where("name = 'C.z'").collect()} == {"Libx/z.lean"}
+    assert roadmap.delivery(suggested.where(F.lit(False)), decls).collect() == []
