@@ -604,7 +604,7 @@ def stream_journal_counts(s, d):
 
 def load() -> None:
     """Adds the queries of the other modules of this package."""
-    from ledgerline.plans import declared, more, references, routes, sources  # noqa: F401
+    from ledgerline.plans import declared, more, references, routes, sources, upkeep  # noqa: F401
 
 
 load()
