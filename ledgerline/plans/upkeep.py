@@ -16,7 +16,7 @@ UNION SELECT {HOME} || '.All' FROM part WHERE p_size > 20 UNION SELECT 'Lib.' ||
 UNION SELECT 'Lib.' || p_type FROM part UNION SELECT 'Base.' || p_type FROM part WHERE p_type <> 'SMALL'"""
 LINES = f"""SELECT {MODULE} AS module, {HOME} || '.All' AS dep, 1 AS nth FROM part WHERE p_size = 49
 UNION ALL SELECT {MODULE}, 'Lib.' || p_type || '.All', 2 FROM part WHERE p_size = 50
-UNION ALL SELECT c.at, p.at, 3 FROM (SELECT {MODULE} AS at, CAST(floor(p_partkey / 2) AS BIGINT) AS up FROM part WHERE p_partkey > 1) c JOIN (SELECT {MODULE} AS at, CAST(p_partkey AS BIGINT) AS own FROM part) p ON c.up = p.own
+UNION ALL SELECT c.at, p.at, 3 FROM (SELECT {MODULE} AS at, CAST(floor(p_partkey / 2) AS BIGINT) AS up, p_type AS kind FROM part WHERE p_partkey > 1) c JOIN (SELECT {MODULE} AS at, CAST(p_partkey AS BIGINT) AS own, p_type AS kind FROM part) p ON c.up = p.own AND c.kind = p.kind
 UNION ALL SELECT {HOME} || '.All', {MODULE}, CAST(10 + row_number() OVER (PARTITION BY p_type, p_brand ORDER BY 'P' || CAST(p_partkey AS STRING)) AS INT) FROM part WHERE p_size <> 3
 UNION ALL SELECT f.home || '.All', 'Gone.' || f.p_type, 9 FROM (SELECT DISTINCT {HOME} AS home, p_type FROM part WHERE p_size = 45) f
 UNION ALL SELECT 'Lib.' || b.p_type || '.All', b.home || '.All', CAST(row_number() OVER (PARTITION BY b.p_type ORDER BY b.home) AS INT) FROM (SELECT DISTINCT p_type, {HOME} AS home FROM part) b
