@@ -358,8 +358,8 @@ def imports_check(p: Project, groups: dict[str, list[str]], rules: list[dict]) -
 
 
 def namespace_check(p: Project, rules: list[dict]) -> DataFrame:
-    """Namespaces that declarations of a module stand in, against the rules."""
-    spaces = sources.declarations(p.scanned).where("not anonymous").select("module", F.regexp_extract("name", r"^(.+)\.[^.]+$", 1).alias("namespace")).where("namespace <> ''").distinct()
+    """Namespaces that a module's files open, with or without declarations in them, against the rules."""
+    spaces = p.scanned.select("module", F.explode("namespaces").alias("namespace")).distinct()
     return policies.namespace_violations(spaces, rules).orderBy("rule", "module", "namespace")
 
 

@@ -169,6 +169,8 @@ def dag_reduction(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("src", "dst").distinct(), "reduce")
     via = edges.select(F.col("src").alias("u"), F.col("dst").alias("node"))
     # only nodes that start a detour: successors of a node with several
+    forks = via.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    via = via.join(forks, "u", "left_semi")
     starts = via.select("node").distinct()
     reach = walk(edges, starts).where("distance > 0").select(F.col("seed").alias("node"), F.col("node").alias("v"))
     implied = via.join(reach, "node").select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()

@@ -105,26 +105,33 @@ def marked_lines(files: DataFrame, pattern: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(pattern)).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-def excerpts(quotes: DataFrame, files: DataFrame, gram: int = 5) -> DataFrame:
-    """(quote_id, path): files whose squeezed text holds the squeezed quote. They meet on the word n-grams after the quote's first word, then the text decides.
+def excerpts(quotes: DataFrame, files: DataFrame, gram: int = 5, whole: bool = False) -> DataFrame:
+    """(quote_id, path): files whose squeezed text holds the squeezed quote, with ``whole`` as whole words. They meet on hashes of the word n-grams after the quote's first word, then the text decides.
 
     A quote's outer words may be parts of a file's words, so only those between them make
     its n-gram, ``gram`` words at most; files give n-grams of each length that quotes ask
-    for. Quotes of one or two words have no inner word and are held against every file.
+    for. What is shuffled is a hash and a path for each n-gram; texts are fetched for the
+    pairs that met. Quotes of one or two words have no inner word: as whole words they meet
+    on themselves, else they are held against every file. Null ids and texts are left out.
     """
     def words(column: str) -> Column:
         return F.split(squeezed(F.lower(column)), " ")
 
-    def grams(n: Column) -> Column:
+    def grams(n: int) -> Column:
         at = F.sequence(F.lit(1), F.size("words") - n + 1)
-        return F.when(F.size("words") >= n, F.transform(at, lambda i: F.concat_ws(" ", F.slice("words", i, n)))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size("words") >= n, F.transform(at, lambda i: F.xxhash64(F.slice("words", i, n)))).otherwise(F.array().cast("array<long>"))
 
-    asked = quotes.select("quote_id", squeezed(F.col("text")).alias("quote"), words("text").alias("words")).withColumn("n", F.least(F.size("words") - 2, F.lit(gram)))
-    inner = asked.where("n > 0").select("quote_id", "quote", F.concat_ws(" ", F.slice("words", F.lit(2), F.col("n"))).alias("gram"))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" ")) if whole else c
+    asked = quotes.where("quote_id is not null and text is not null").select("quote_id", pad(squeezed(F.col("text"))).alias("quote"), words("text").alias("words"))
+    outer = F.size("words") - 2
+    asked = asked.withColumn("n", F.when(outer > 0, F.least(outer, F.lit(gram))).otherwise(F.size("words") if whole else 0)).withColumn("at", F.when(outer > 0, 2).otherwise(1))
+    keyed = asked.where("n > 0").select("quote_id", F.xxhash64(F.slice("words", F.col("at"), F.col("n"))).alias("gram"))
     sizes = sorted(r.n for r in asked.where("n > 0").select("n").distinct().collect())
-    body = files.select("path", squeezed(F.col("text")).alias("body"), words("text").alias("words"))
-    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(F.lit(n)) for n in sizes]))
-    held = body.select("path", "body", F.explode(every).alias("gram"))
-    long = held.join(inner, "gram").where(F.col("body").contains(F.col("quote"))).select("quote_id", "path")
-    short = body.join(asked.where("n <= 0").select("quote_id", "quote"), F.col("body").contains(F.col("quote"))).select("quote_id", "path")
+    given = files.where("path is not null and text is not null")
+    every = F.array_distinct(F.concat(F.array().cast("array<long>"), *[grams(n) for n in sizes]))
+    held = given.select("path", words("text").alias("words")).select("path", F.explode(every).alias("gram"))
+    met = held.join(keyed, "gram").select("path", "quote_id").distinct().join(asked.select("quote_id", "quote"), "quote_id")
+    body = given.select("path", pad(squeezed(F.col("text"))).alias("body"))
+    long = met.join(body, "path").where(F.col("body").contains(F.col("quote"))).select("quote_id", "path")
+    short = body.join(asked.where("n = 0").select("quote_id", "quote"), F.col("body").contains(F.col("quote"))).select("quote_id", "path")
     return long.unionByName(short).distinct()

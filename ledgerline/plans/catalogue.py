@@ -491,12 +491,9 @@ SELECT q.item_id, f.doc_id FROM q JOIN f ON contains(' ' || body || ' ', ' ' ||
 )
 def excerpt_found(s, d):
     quotes = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    held = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"))
-    found = textaudit.excerpts(quotes, held)
-    # whole words only, as the oracle has it
-    both = found.join(quotes.withColumn("quote", textaudit.squeezed(F.col("text"))).drop("text"), "quote_id").join(held, "path")
-    whole = F.concat(F.lit(" "), textaudit.squeezed(F.col("text")), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("quote"), F.lit(" ")))
-    return both.where(whole).select(F.col("quote_id").alias("item_id"), F.col("path").alias("doc_id"))
+    held = table(s, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = textaudit.excerpts(quotes, held, whole=True)  # whole words only, as the oracle has it
+    return found.select(F.col("quote_id").alias("item_id"), F.col("path").alias("doc_id"))
 
 
 @query()

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from ledgerline import api
-from ledgerline.operators import names
+from ledgerline.operators import names, sources
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,12 @@ def test_source_commands(project):
     assert rows(api.namespace_check(p, [{"id": "n", "modules": ["Lib"], "deny": ["Wood"]}]), "module") == [("Lib.Elm",), ("Lib.Oak",)]
 
 
+def test_namespaces_count_whether_or_not_anything_is_declared_in_them(spark):
+    text = "/- namespace No -/\nnamespace A.B\nsection S\nnamespace C\nend C\nend S\nend A.B\nnamespace A.B\nend\nsection\nnamespace Z -- named\ndef x := 1\n"
+    files = spark.createDataFrame([("p", "M", text), ("q", "N", None)], "path string, module string, text string")
+    assert rows(sources.scan_files(files).orderBy("path"), "namespaces") == [(["A.B", "A.B.C", "Z"],), ([],)]
+
+
 def test_ledger_commands(project):
     p = project
     assert rows(api.validate(p, "census"), "location", "code") == [("a", "verification-citations"), ("b", "verification-citations")]

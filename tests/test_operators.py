@@ -1,6 +1,7 @@
 """Small fixtures with hand-made expectations for the general operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,24 @@ def test_excerpts_of_every_length(spark):
     asked = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, text string")
     got = {(r.quote_id, r.path) for r in textaudit.excerpts(asked, files).collect()}
     assert got == {(i, p) for i, q in enumerate(quotes) for p, t in flat.items() if q in t}
+    odd = files.unionByName(spark.createDataFrame([("n", None), (None, said), ("again", said)], "path string, text string"))
+    more = asked.unionByName(spark.createDataFrame([(99, None), (None, "times"), (98, "")], "quote_id long, text string"))
+    whole = {(r.quote_id, r.path) for r in textaudit.excerpts(more, odd, whole=True).collect()}
+    flat["again"] = flat["a"]
+    assert whole == {(i, p) for i, q in [*enumerate(quotes), (98, "")] for p, t in flat.items() if f" {q} " in f" {t} "}
+
+
+def test_reduction_of_random_graphs(spark):
+    r = random.Random(11)
+    edges = {tuple(sorted(r.sample(range(14), 2))) for _ in range(40)}
+    after = {a: {b for x, b in edges if x == a} for a in range(14)}
+
+    def below(a, seen):
+        for b in after[a] - seen:
+            seen.add(b)
+            below(b, seen)
+        return seen
+
+    want = {(a, b) for a, b in edges if not any(b in below(x, set()) for x in after[a] - {b})}
+    got = graph.dag_reduction(spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in edges], "src string, dst string")).collect()
+    assert {(int(x.src), int(x.dst)) for x in got} == want and len(want) < len(edges)
