@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.session import shuffle_width
 from ledgerline.operators import documents, graph, logs, names, policies, sources
 from ledgerline.plans.catalogue import decls, edges, long, query
 from ledgerline.sources.projection import CYCLIC, DECLS, EDGES, frame
@@ -27,7 +28,9 @@ def scanned(s, d):
         F.when(F.col("kind") == "theorem", F.concat(F.lit("theorem "), "short", F.lit(" {a : Nat} (h : a = \"theorem no : := 3\") : size = "), F.col("p_size").cast("string"), F.when(F.col("p_size") == 50, " := by sorry\n").otherwise(" := by simp\n")))
         .otherwise(F.concat(F.lit("private def "), "short", F.lit(" : Nat := "), F.when(F.col("p_size") == 49, "sorry").otherwise(F.concat(F.lit("p_"), (F.col("p_partkey") - 1).cast("string"))), F.lit(" -- def not_this : Nat := 1\n"))),
     )
-    body = frame(s, d, DECLARED).groupBy("p_brand", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", own.alias("text")))), lambda x: x["text"]), "").alias("body"))
+    # A brand's file is one task's: a width of its own, as the parts are few bytes and their texts are many.
+    told = frame(s, d, DECLARED)
+    body = told.repartition(max(shuffle_width(told), 4 * s.sparkContext.defaultParallelism), "p_brand", "module").groupBy("p_brand", "module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", own.alias("text")))), lambda x: x["text"]), "").alias("body"))
     number = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
     text = F.concat(F.lit("import Lib.Brand"), (number - 1).cast("string"), F.lit("\nnamespace Shelf\n"), "body", F.lit("end Shelf\n/- theorem none : True -/\n"))
     return sources.scan_files(body.select(F.concat("module", F.lit(".lean")).alias("path"), "module", text.alias("text")))

@@ -1,6 +1,7 @@
 """Source scanning, ledger documents and policies on small texts; the semantic traps one by one."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +223,22 @@ def test_foundations(spark):
     got = files(spark, ("A", "def ok := 1"))
     report = policies.foundations(nodes, deps, camps, got, sources.declarations(got))
     assert rows(report, "code", "location") == [("foundation-campaign-node", "k"), ("foundation-cycle", "a, b, c, d"), ("foundation-declaration", "A.lean"), ("foundation-duplicate-campaign", "k"), ("foundation-duplicate-id", "a"), ("foundation-file", "Z.lean"), ("foundation-missing-dependency", "none")]
+
+
+def test_scan_grows_with_the_file():
+    """Eight times the declarations take eight times as long, not 64 times."""
+    def seconds(n: int) -> float:
+        text = "".join(f"/-- a -/\n@[simp]\ntheorem t{i} : x = {i} := by simp\n@[simp] def d{i} := {i}\n" for i in range(n))
+        start = time.process_time()
+        found = sources.scan(text)[3]
+        spent = time.process_time() - start
+        assert [(x["line"], x["documented"]) for x in found] == [y for i in range(n) for y in ((4 * i + 2, True), (4 * i + 4, False))]
+        return spent
+
+    seconds(500)
+    assert seconds(16000) < 24 * max(seconds(2000), seconds(2000))
+
+
+def test_documentation_over_lines_between():
+    text = "/-- a -/\n@[simp] def a := 1\n@[simp] def b := 2\nvariable x\n\ndef c := 3\ndef d := 4\n x /-- e -/\ndef e := 5\n/-- f -/\nopen F\nlocal def f := 6\n-- more\ndef g := 7\n"
+    assert [(x["name"], x["line"], x["documented"]) for x in sources.scan(text)[3]] == [("a", 2, True), ("b", 3, True), ("c", 6, True), ("d", 7, False), ("e", 9, False), ("f", 12, True), ("g", 14, True)]
