@@ -281,3 +281,12 @@ def test_roadmap(spark):
     assert sorted(tuple(x) for x in roadmap.topics(found).collect()) == [("t", 2, 2, 1), ("u", 3, 0, 0)]
     assert {x.path for x in roadmap.delivery(suggested, decls).where("name = 'C.z'").collect()} == {"Libx/z.lean"}
     assert roadmap.delivery(suggested.where(F.lit(False)), decls).collect() == []
+
+
+def test_searches_see_only_what_lies_ahead(spark):
+    """Edges behind or beside the starts are left out; rings end."""
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("z", "a"), ("b", "t"), ("x", "t"), ("a", "b")], "src string, dst string")
+    start = spark.createDataFrame([("b",)], "node string")
+    found = sorted((r.src, r.dst) for r in consumption.ahead_of(e, start).collect())
+    assert found == [("a", "b"), ("b", "c"), ("b", "t"), ("c", "a")]
+    assert consumption.ahead_of(e, start.where("false")).collect() == []
