@@ -287,6 +287,12 @@ def test_searches_see_only_what_lies_ahead(spark):
     """Edges behind or beside the starts are left out; rings end."""
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("z", "a"), ("b", "t"), ("x", "t"), ("a", "b")], "src string, dst string")
     start = spark.createDataFrame([("b",)], "node string")
-    found = sorted((r.src, r.dst) for r in consumption.ahead_of(e, start).collect())
+    found = sorted((r.src, r.dst) for r in graph.ahead_of(e, start).collect())
     assert found == [("a", "b"), ("b", "c"), ("b", "t"), ("c", "a")]
-    assert consumption.ahead_of(e, start.where("false")).collect() == []
+    assert graph.ahead_of(e, start.where("false")).collect() == []
+
+
+def test_leaves(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("q", "b"), ("r", "s"), ("s", "r"), ("z", "y")], "src string, dst string")
+    wanted = spark.createDataFrame([("c",), ("s",), ("alone",), ("c",)], "node string")
+    assert sorted(r.node for r in graph.leaves(e, wanted).collect()) == ["a", "alone", "q"]
