@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.session import materialise
-from ledgerline.operators import graph
+from ledgerline.operators import graph, pairs
 
 
 def dependency_walk(edges: DataFrame, claims: DataFrame) -> DataFrame:
@@ -46,13 +46,8 @@ def headline_pairs(walked: DataFrame) -> DataFrame:
 
     The claims' own declarations are no common dependencies of theirs.
     """
-    own = walked.where("distance = 0").select("claim", F.col("node").alias("self"))
-    named = walked.join(own, "claim")
-    l, r = named.alias("l"), named.alias("r")
-    met = l.join(r, (F.col("l.node") == F.col("r.node")) & (F.col("l.claim") < F.col("r.claim")) & (F.col("l.node") != F.col("l.self")) & (F.col("l.node") != F.col("r.self")))
-    order = F.struct(F.greatest("l.distance", "r.distance").alias("far"), (F.col("l.distance") + F.col("r.distance")).alias("total"), F.col("l.node").alias("node"), F.col("l.distance").alias("da"), F.col("r.distance").alias("db"))
-    best = met.groupBy(F.col("l.claim").alias("a"), F.col("r.claim").alias("b")).agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("common"))
-    return best.select("a", "b", "m.node", "m.da", "m.db", "common")
+    below = walked.where("distance > 0").withColumnRenamed("claim", "owner")
+    return pairs.common(below, nearest=True)
 
 
 def library_counts(walked: DataFrame, decls: DataFrame) -> DataFrame:
