@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import graph
+from ledgerline.operators import graph, pairs
 
 
 def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:
@@ -15,8 +15,7 @@ def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:
 
 def closure_overlap(closures: DataFrame) -> DataFrame:
     """(a, b, common) for two roots whose closures meet."""
-    l, r = closures.alias("l"), closures.alias("r")
-    return l.join(r, (F.col("l.node") == F.col("r.node")) & (F.col("l.seed") < F.col("r.seed"))).groupBy(F.col("l.seed").alias("a"), F.col("r.seed").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    return pairs.common(closures.withColumnRenamed("seed", "owner"))
 
 
 def policy_violations(imports: DataFrame, rules: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerline.operators import headlines, pairs
+from ledgerline.operators import headlines, modules, pairs
 
 
 def plain(rows):
@@ -50,7 +50,8 @@ def test_dense_and_thin_nodes_count_alike(monkeypatch):
 
 def test_no_row_for_a_pair_and_node_is_joined(spark):
     walked = spark.createDataFrame([(f"c{i}", f"n{j}", j + 1) for i in range(30) for j in range(10)], "claim string, node string, distance int")
-    for found in (headlines.headline_pairs(walked),):
+    closed = walked.withColumnRenamed("claim", "seed")
+    for found in (headlines.headline_pairs(walked), modules.closure_overlap(closed)):
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert found.where("common = 10").count() == 435
 
