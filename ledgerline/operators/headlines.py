@@ -95,13 +95,17 @@ def collapse(edges: DataFrame, keep: DataFrame) -> DataFrame:
 def cluster_stats(edges: DataFrame, decls: DataFrame, by: str) -> DataFrame:
     """Per library or module: nodes, edges inside, edges in from others, edges out to others."""
     group = decls.select(F.col("name").alias("node"), F.col(by).alias("cluster"))
-    e = edges.join(group.withColumnsRenamed({"node": "src", "cluster": "sc"}), "src").join(group.withColumnsRenamed({"node": "dst", "cluster": "dc"}), "dst")
-    pair = e.groupBy("sc", "dc").agg(F.count(F.lit(1)).alias("n"))
-    inner = pair.where("sc = dc").select(F.col("sc").alias("cluster"), F.col("n").alias("internal"))
-    into = pair.where("sc <> dc").groupBy(F.col("dc").alias("cluster")).agg(F.sum("n").alias("incoming"))
-    out = pair.where("sc <> dc").groupBy(F.col("sc").alias("cluster")).agg(F.sum("n").alias("outgoing"))
+    # Edges meet their consumers' clusters and are counted; what meets the dependencies' clusters are counts.
+    used = edges.join(group.withColumnsRenamed({"node": "dst", "cluster": "dc"}), "dst").groupBy("src", "dc").agg(F.count(F.lit(1)).alias("n"))
+    pair = used.join(group.withColumnsRenamed({"node": "src", "cluster": "sc"}), "src").groupBy("sc", "dc").agg(F.sum("n").alias("n"))
+    n, none, apart = F.col("n"), F.lit(None).cast("long"), F.col("sc") != F.col("dc")
+    ends = F.array(
+        F.struct(F.col("sc").alias("cluster"), F.when(~apart, n).alias("internal"), none.alias("incoming"), F.when(apart, n).alias("outgoing")),
+        F.struct(F.col("dc").alias("cluster"), none.alias("internal"), F.when(apart, n).alias("incoming"), none.alias("outgoing")),
+    )
+    met = pair.select(F.inline(ends)).groupBy("cluster").agg(*[F.sum(x).alias(x) for x in ("internal", "incoming", "outgoing")])
     nodes = group.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"))
-    return nodes.join(inner, "cluster", "left").join(into, "cluster", "left").join(out, "cluster", "left").na.fill(0)
+    return nodes.join(met, "cluster", "left").na.fill(0)
 
 
 def promotion(edges: DataFrame, tagged: DataFrame, consumer_prefixes: tuple[str, ...] = ()) -> DataFrame:

@@ -64,6 +64,22 @@ def test_pairs_take_the_least_greater_distance(spark):
     assert got[("x", "y")] == ("two", 3, 3) and got[("x", "z")] == ("one", 1, 2)
 
 
+def test_cluster_figures_read_edges_once(spark):
+    e = edges(spark, ("a1", "a2"), ("a1", "b1"), ("a2", "b1"), ("b1", "a2"), ("b1", "none"), ("gone", "a1"))
+    decls = spark.createDataFrame([("a1", "A"), ("a2", "A"), ("b1", "B"), ("c1", "C"), ("d1", None)], "name string, library string")
+    found = headlines.cluster_stats(e, decls, "library")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    assert rows(found.na.fill("-"), "cluster", "nodes", "internal", "incoming", "outgoing") == [("-", 1, 0, 0, 0), ("A", 2, 1, 1, 2), ("B", 1, 0, 2, 1), ("C", 1, 0, 0, 0)]
+
+
+def test_edges_by_consumer_are_the_edges(spark):
+    from ledgerline.sources.projection import EDGES, consumed, frame
+
+    folder = "/root/testdata/sf0.001"
+    by, plain = consumed(spark, folder), frame(spark, folder, EDGES)
+    assert by.count() == plain.count() and by.exceptAll(plain).isEmpty() and plain.exceptAll(by).isEmpty()
+
+
 def test_promotion(spark):
     e = edges(spark, ("gate", "Out.a"), ("gate", "In.b"), ("beam", "gate"), ("sand", "gate"))
     got = headlines.promotion(e, nodes(spark, "gate", "beam", "idle"))
