@@ -1,12 +1,13 @@
 """Policies as rule tables: imports, namespaces, grounding, staging, foundations.
 
 Groups, rules and patterns are small tables that a policy file brings; modules and imports
-may be many. Patterns (globs or dotted prefixes) are matched once per distinct module, and
-rules then meet modules by equi-joins on group names.
+may be many. Whether a name is in a group is a matter of its patterns (globs or dotted
+prefixes) alone, so that rules on imports are filters of the edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,44 +40,56 @@ def import_violations(imports: DataFrame, modules: DataFrame, groups: dict[str,
     allow rule. A transitive rule gives one shortest path, the least, per module; modules
     outside the index can be hit, but not gone through.
     """
-    every = modules.select("module").unionByName(imports.select(F.col("dep").alias("module")))
-    member = materialise(classify(every, groups), "groups")
     edges = imports.select("module", "dep").distinct()
     known = modules.select("module").distinct()
-    spark, out = imports.sparkSession, []
-    within = lambda names: F.arrays_overlap("groups", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    within = lambda name, wanted: any_match(name, [p for g in wanted for p in groups.get(g, [])])
+
+    def covers(rule: dict, name: Column) -> Column:
+        return within(name, rule["source_groups"]) & ~any_match(name, rule.get("exceptions", []))
+
+    def wrong(rule: dict, name: Column) -> Column:
+        denied = within(name, rule.get("deny_groups", []))
+        return denied | ~within(name, rule["allow_groups"]) if rule.get("allow_groups") else denied
+
+    direct, out = [r for r in rules if not r.get("transitive")], []
+    module, dep = F.col("module"), F.col("dep")
+    if direct:
+        hits = F.filter(F.array(*[F.when(covers(r, module) & wrong(r, dep), F.lit(r["id"])) for r in direct]), lambda x: x.isNotNull())
+        told = edges.where(reduce(lambda a, b: a | b, [covers(r, module) & wrong(r, dep) for r in direct]))
+        told = told.join(known.where(reduce(lambda a, b: a | b, [covers(r, module) for r in direct])), "module", "left_semi")
+        out.append(told.select(F.explode(hits).alias("rule"), "module", F.col("dep").alias("imported"), F.array("module", "dep").alias("path")))
     for rule in rules:
-        source = member.where(within(rule["source_groups"])).join(known, "module", "left_semi")
-        source = source.where(~any_match(F.col("module"), rule.get("exceptions", []))).select("module")
-        wrong = within(rule.get("deny_groups", []))
-        if rule.get("allow_groups"):
-            wrong = wrong | ~within(rule["allow_groups"])
-        forbidden = member.where(wrong).select(F.col("module").alias("dep"))
-        if not rule.get("transitive"):
-            hit = edges.join(source, "module", "left_semi").join(forbidden, "dep", "left_semi").select("module", F.col("dep").alias("imported"), F.array("module", "dep").alias("path"))
-        else:
-            hit = first_forbidden(edges.join(known, "module", "left_semi"), source, forbidden)
-        out.append(hit.select(F.lit(rule["id"]).alias("rule"), "module", "imported", "path"))
+        if rule.get("transitive"):
+            hit = first_forbidden(edges, known, lambda x, rule=rule: covers(rule, x), lambda x, rule=rule: wrong(rule, x))
+            out.append(hit.select(F.lit(rule["id"]).alias("rule"), "module", "imported", "path"))
     if not out:
-        return spark.createDataFrame([], "rule string, module string, imported string, path array<string>")
+        return imports.sparkSession.createDataFrame([], "rule string, module string, imported string, path array<string>")
     return reduce(DataFrame.unionByName, out)
 
 
-def first_forbidden(edges: DataFrame, source: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """(module, imported, path): for every source module the least of the shortest paths to a forbidden import; searches stop at their first hit."""
-    step = materialise(edges.select(F.col("module").alias("node"), "dep"), "steps")
-    bad = materialise(forbidden.select(F.col("dep").alias("node")).distinct(), "forbidden")
-    front = materialise(source.select("module", F.col("module").alias("node"), F.array("module").alias("path")), "search")
-    seen, found = front.select("module", "node"), None
+def first_forbidden(edges: DataFrame, known: DataFrame, covers: Callable[[Column], Column], wrong: Callable[[Column], Column]) -> DataFrame:
+    """(module, imported, path): for every known module that a rule covers the least of the shortest paths to an import that is wrong.
+
+    Searches stop at their first hit and go through known modules only. Modules that import a wrong one themselves are settled
+    by a filter; the edges are written for the others' searches, if there are others.
+    """
+    source = known.where(covers(F.col("module")))
+    own = edges.where((F.col("module") != F.col("dep")) & covers(F.col("module")) & wrong(F.col("dep"))).join(source, "module", "left_semi")
+    found = materialise(own.groupBy("module").agg(F.min("dep").alias("imported")).select("module", "imported", F.array("module", "imported").alias("path")), "hits")
+    front = materialise(source.join(found.select("module"), "module", "left_anti").select("module", F.col("module").alias("node"), F.array("module").alias("path")), "search")
+    if front.isEmpty():
+        return found
+    step = materialise(edges.join(known, "module", "left_semi").select(F.col("module").alias("node"), "dep"), "steps")
+    seen = front.select("module", "node")
     while not front.isEmpty():
         onward = front.join(step, "node").select("module", F.col("dep").alias("node"), F.concat("path", F.array("dep")).alias("path")).groupBy("module", "node").agg(F.min("path").alias("path"))
         onward = materialise(onward.join(seen, ["module", "node"], "left_anti"), "search")
-        hit = onward.join(bad, "node", "left_semi").groupBy("module").agg(F.min("path").alias("path"))
+        hit = onward.where(wrong(F.col("node"))).groupBy("module").agg(F.min("path").alias("path"))
         hit = materialise(hit.select("module", F.element_at("path", -1).alias("imported"), "path"), "hits")
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(hit)
         front = materialise(onward.join(hit.select("module"), "module", "left_anti"), "search")
         seen = materialise(seen.unionByName(onward.select("module", "node")), "seen")
-    return found if found is not None else front.select("module", F.col("node").alias("imported"), "path")
+    return found
 
 
 def namespace_violations(opened: DataFrame, rules: list[dict]) -> DataFrame:

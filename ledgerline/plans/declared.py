@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.session import shuffle_width
 from ledgerline.operators import documents, graph, logs, names, policies, sources
 from ledgerline.plans.catalogue import decls, edges, long, query
-from ledgerline.sources.projection import CYCLIC, DECLS, EDGES, frame
+from ledgerline.sources.projection import CYCLIC, DECLS, EDGES, consumed, frame
 from ledgerline.sources.tables import table
 
 #: What a part declares: theorems for even sizes (documented where the size divides by 4), private definitions for odd ones.
@@ -163,7 +163,7 @@ UNION ALL SELECT 'makers-reach-places', dst, src, dst || '>' || src FROM e WHERE
 )
 def import_policy(s, d):
     known = decls(s, d).select(F.col("name").alias("module"))
-    found = policies.import_violations(edges(s, d).select(F.col("dst").alias("module"), F.col("src").alias("dep")), known, GROUPS, RULES)
+    found = policies.import_violations(consumed(s, d).select(F.col("dst").alias("module"), F.col("src").alias("dep")), known, GROUPS, RULES)
     return found.select("rule", "module", "imported", F.array_join("path", ">").alias("path"))
 
 

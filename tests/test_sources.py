@@ -203,6 +203,19 @@ def test_import_policy(spark):
     assert got == sorted([("allow", "App.a", "Ext.y", ["App.a", "Ext.y"]), ("allow", "App.b", "Mid.m", ["App.b", "Mid.m"]), ("allow", "App.c", "Ext.y", ["App.c", "Ext.y"]), ("deep", "App.b", "Bad.z", ["App.b", "Mid.m", "Mid.n", "Bad.z"]), ("deep", "App.off", "Bad.z", ["App.off", "Bad.z"])], key=str)
 
 
+def test_import_policy_reads_edges_once_for_all_rules(spark):
+    imports = spark.createDataFrame([("A.x", "B.y"), ("A.x", "A.x"), ("A.z", "C.y"), ("Q.x", "B.y"), ("A.z", "A.x"), (None, "B.y"), ("A.x", None)], "module string, dep string")
+    modules = spark.createDataFrame([("A.x",), ("A.z",), ("B.y",)], "module string")
+    groups = {"a": ["A"], "b": ["B"], "every": ["*"]}
+    rules = [{"id": f"r{i}", "source_groups": ["a", "none"], "deny_groups": ["b", "a"]} for i in range(3)]
+    found = policies.import_violations(imports, modules, groups, rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert rows(found, "rule", "module", "imported") == sorted((f"r{i}", m, d) for i in range(3) for m, d in (("A.x", "B.y"), ("A.x", "A.x"), ("A.z", "A.x")))
+    # a search doesn't come back to where it began
+    deep = policies.import_violations(imports, modules, groups, [{"id": "d", "source_groups": ["a"], "deny_groups": ["b"], "transitive": True}, {"id": "own", "source_groups": ["a"], "deny_groups": ["a"], "transitive": True}])
+    assert rows(deep, "rule", "module", "path") == [("d", "A.x", ["A.x", "B.y"]), ("d", "A.z", ["A.z", "A.x", "B.y"]), ("own", "A.z", ["A.z", "A.x"])]
+
+
 def test_other_policies(spark):
     opened = spark.createDataFrame([("L.a", "N"), ("L.a", "X.y"), ("L.b", "N.m"), ("M.a", "X")], "module string, namespace string")
     found = policies.namespace_violations(opened, [{"id": "n", "modules": ["L"], "deny": ["X"], "allow": ["N"]}, {"id": "o", "modules": ["L.b"], "allow": ["Q"]}])
