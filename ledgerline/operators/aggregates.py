@@ -3,7 +3,7 @@
 A folder's aggregate imports the aggregates of the folders in it, then its own modules, then what it already re-exports from other libraries. A module that
 reaches its own folder's aggregate can't stand there without a ring; it goes to the folder above, which takes it as it is; in the base folder it has no place.
 
-Scale: imports are walked backwards from the aggregates, and only from those that a module which isn't one reaches through imports of aggregates; the rest
+Scale: imports are walked backwards from the aggregates up to the next aggregate; which aggregates reach which is found among them alone; the rest
 are equi-joins and sums. A line is a row, so that a wide folder isn't gathered; only its order is set in one sorted window, which spills.
 
 Defined cases: null modules and imports are left out; a module or an import that repeats counts once, by its first place; a folder that holds nothing to
@@ -39,16 +39,22 @@ def _last(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-def _reached(imports: DataFrame, heads: DataFrame) -> DataFrame:
-    """(aggregate, module): modules that reach an aggregate (column ``module`` of heads)."""
-    head = heads.select(F.col("module").alias("dep"))
-    into = imports.join(head, "dep", "left_semi")
-    among = into.join(heads, "module", "left_semi")
-    entered = into.join(heads, "module", "left_anti").select(F.col("dep").alias("node")).distinct()
-    # what is imported by an aggregate that a module reaches is reached as well
-    starts = graph.walk(among.select(F.col("module").alias("src"), F.col("dep").alias("dst")), entered.withColumn("seed", F.lit("*"))).select("node").distinct()
-    back = graph.walk(imports.select(F.col("dep").alias("src"), F.col("module").alias("dst")), starts)
-    return back.where("distance > 0").select(F.col("seed").alias("aggregate"), F.col("node").alias("module"))
+def _held(own: DataFrame, imports: DataFrame, heads: DataFrame) -> DataFrame:
+    """The modules (columns module and aggregate of own) that reach their folder's aggregate (column ``module`` of heads).
+
+    A module enters the aggregates by the first ones on its ways, which it reaches through modules that are none; from there on it is the
+    aggregates' matter which of them reaches which, and that is found once for all modules.
+    """
+    plain = imports.join(heads, "module", "left_anti")
+    entered = plain.join(heads.withColumnRenamed("module", "dep"), "dep", "left_semi").select(F.col("dep").alias("node")).distinct()
+    entry = graph.walk(plain.select(F.col("dep").alias("src"), F.col("module").alias("dst")), entered).where("distance > 0")
+    entry = materialise(entry.select(F.col("node").alias("module"), F.col("seed").alias("entry")), "entries")
+    of_heads = imports.join(heads, "module", "left_semi")
+    straight = of_heads.join(heads.withColumnRenamed("module", "dep"), "dep", "left_semi").select("dep", "module")
+    through = of_heads.join(entry.withColumnRenamed("module", "dep"), "dep").select(F.col("entry").alias("dep"), "module")
+    among = straight.unionByName(through).distinct().select(F.col("dep").alias("src"), F.col("module").alias("dst"))
+    ahead = graph.walk(among, own.select(F.col("aggregate").alias("node")).distinct()).select(F.col("seed").alias("aggregate"), F.col("node").alias("entry"))
+    return own.join(entry, "module").join(ahead, ["aggregate", "entry"], "left_semi").drop("entry").distinct()
 
 
 def check(
@@ -77,7 +83,7 @@ def check(
     own = own.join(every.where("out").select(F.col("folder").alias("module")), "module", "left_anti").select("folder", "module", F.concat("folder", F.lit("." + name)).alias("aggregate"))
     if respect_cycles:
         known = heads.select(F.col("aggregate").alias("module"))  # an aggregate may be imported before it exists
-        held = materialise(own.join(_reached(imports.select("module", "dep"), known), ["aggregate", "module"], "left_semi"), "deferred")
+        held = materialise(_held(own, imports.select("module", "dep"), known).select(own.columns), "deferred")
         own = own.join(held, ["aggregate", "module"], "left_anti")
     else:
         held = own.where(F.lit(False))

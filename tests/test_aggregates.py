@@ -105,3 +105,17 @@ def test_empty_and_null(spark):
     assert run(spark, set(), {}) == ({}, set(), {})
     lines, notes, status = run(spark, [None, "Lib.a", "Lib.a"], {"Lib.a": [None, "Lib.a"]})
     assert lines == {"Lib.All": ["Lib.a"]} and not notes and status["Lib.All"].state == "missing"
+
+
+def test_aggregates_that_reach_one_another_are_walked_once(spark, monkeypatch):
+    """Modules of a type's folders all reach all of its aggregates; a module is met once for each aggregate that it enters, not for all."""
+    homes = [f"Lib.T.F{i}" for i in range(6)]
+    imports = {h + ".All": [f"{h}.m{k}" for k in range(8)] + [homes[(i + 1) % 6] + ".All"] for i, h in enumerate(homes)}
+    imports |= {f"{h}.m{k}": [h + ".All"] for h in homes for k in range(8)}
+    walked = []
+    walk = aggregates.graph.walk
+    monkeypatch.setattr(aggregates.graph, "walk", lambda *a, **kw: walked.append(walk(*a, **kw)) or walked[-1])
+    modules = [f"{h}.m{k}" for h in homes for k in range(8)]
+    lines, notes, _ = run(spark, modules, imports)
+    assert (lines, notes) == plain(modules, imports, "Lib", ())
+    assert sum(w.count() for w in walked) == 48 + 6 + 36

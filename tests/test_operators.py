@@ -80,6 +80,19 @@ def test_edges_by_consumer_are_the_edges(spark):
     assert by.count() == plain.count() and by.exceptAll(plain).isEmpty() and plain.exceptAll(by).isEmpty()
 
 
+def test_what_a_walk_knows_is_broadcast_only_up_to_a_bound(spark, monkeypatch):
+    e, plans = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(6)], ("n6", "n2")), []
+    kept = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    want = [(f"n{i}", i - 1) for i in range(1, 7)]
+    assert rows(graph.walk(e, nodes(spark, "n1")), "node", "distance") == want and any("BroadcastHashJoin" in p and "LeftAnti" in p for p in plans)
+    monkeypatch.setattr(graph, "SENT", 2)
+    plans.clear()
+    assert rows(graph.walk(e, nodes(spark, "n1")), "node", "distance") == want
+    anti = [line for p in plans for line in p.split("\n") if "LeftAnti" in line]
+    assert ["SortMergeJoin" in line for line in anti] == [False, False, True, True, True, True]
+
+
 def test_promotion(spark):
     e = edges(spark, ("gate", "Out.a"), ("gate", "In.b"), ("beam", "gate"), ("sand", "gate"))
     got = headlines.promotion(e, nodes(spark, "gate", "beam", "idle"))
