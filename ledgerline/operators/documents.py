@@ -261,13 +261,16 @@ def census_summary(docs: DataFrame) -> DataFrame:
     rows = items(docs, "items")
     row = F.col("row")
     fields = {"status": "status", "verification": "verification", "importance": "importance", "semantic_alignment": "semantic_alignment.classification"}
-    pairs = F.array(*[F.struct(F.lit(k).alias("field"), value(row, p).alias("value")) for k, p in fields.items()])
-    counts = rows.select("document", F.explode(pairs).alias("p")).where("p.value is not null").groupBy("document", "p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    cited = rows.select("document", F.explode(names(row, "lean_declarations")).alias("value")).groupBy("document", "value").agg(F.count(F.lit(1)).alias("n"))
-    reused = cited.where("n > 1").select("document", F.lit("reused").alias("field"), "value", "n")
-    distinct = cited.groupBy("document").agg(F.count(F.lit(1)).alias("n")).select("document", F.lit("unique_lean_declarations").alias("field"), F.lit("").alias("value"), "n")
-    total = rows.groupBy("document").agg(F.count(F.lit(1)).alias("n")).select("document", F.lit("items").alias("field"), F.lit("").alias("value"), "n")
-    return counts.unionByName(reused).unionByName(distinct).unionByName(total)
+    told = lambda field, value, n: F.struct(F.lit(field).alias("field"), value.alias("value"), n.alias("n"))
+    pair = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    cites = F.transform(names(row, "lean_declarations"), lambda x: pair("cited", x))
+    pairs = F.concat(F.array(*[pair(k, value(row, p)) for k, p in fields.items()], pair("items", F.lit(""))), cites)
+    # One pass: documents are read, parsed and counted once, and what is cited is told apart among the counts.
+    counts = rows.select("document", F.inline(pairs)).where("value is not null").groupBy("document", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    unique = told("unique_lean_declarations", F.lit(""), F.lit(1).cast("long"))
+    of_name = F.when(F.col("n") > 1, F.array(told("reused", F.col("value"), F.col("n")), unique)).otherwise(F.array(unique))
+    found = F.when(F.col("field") == "cited", of_name).otherwise(F.array(F.struct("field", "value", "n")))
+    return counts.select("document", F.inline(found)).groupBy("document", "field", "value").agg(F.sum("n").alias("n"))
 
 
 # -- one document on the driver: paths, scalars, edits ----------------------------------------------

@@ -255,3 +255,17 @@ def test_scan_grows_with_the_file():
 def test_documentation_over_lines_between():
     text = "/-- a -/\n@[simp] def a := 1\n@[simp] def b := 2\nvariable x\n\ndef c := 3\ndef d := 4\n x /-- e -/\ndef e := 5\n/-- f -/\nopen F\nlocal def f := 6\n-- more\ndef g := 7\n"
     assert [(x["name"], x["line"], x["documented"]) for x in sources.scan(text)[3]] == [("a", 2, True), ("b", 3, True), ("c", 6, True), ("d", 7, False), ("e", 9, False), ("f", 12, True), ("g", 14, True)]
+
+
+def test_census_summary_reads_documents_once(spark):
+    from ledgerline.plans import declared
+
+    bodies = [(1, '{"items":[{"id":"a","status":"open","lean_declarations":["x","y","x"]},{"id":"b","status":"open","verification":"absent","lean_declarations":["x"]},{"status":3,"lean_declarations":"x"}]}'), (2, '{"items":[]}'), (3, "no json"), (4, '{"items":[{"semantic_alignment":{"classification":"near"}}]}')]
+    found = documents.census_summary(spark.createDataFrame(bodies, "document long, body string"))
+    want = [(1, "items", "", 3), (1, "reused", "x", 3), (1, "status", "3", 1), (1, "status", "open", 2), (1, "unique_lean_declarations", "", 2), (1, "verification", "absent", 1), (4, "items", "", 1), (4, "semantic_alignment", "near", 1)]
+    assert sorted(map(tuple, found.select("document", "field", "value", "n").collect())) == want
+    # One read and one shuffle of the orders, whose width is the input's; a width left to Spark was that of their compressed bytes, so that one task took them all.
+    plan = declared.census_summaries(spark, "/root/testdata/sf0.01")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation ") == 1
+    dealt = [line for line in plan.executedPlan().toString().split("\n") if "Exchange" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
