@@ -15,8 +15,8 @@ relative to the context. The arrays lie in one buffer that workers memory-map.
 
 The rest. Words and pairs that aren't in the trie are not dropped: the tokens that miss it
 are sent by what they miss. A pair of vocabulary words is counted again where its tokens
-meet, so its count moves once; pairs with a word outside the vocabulary, and such words and
-contexts, meet their row of a table. So every word and every pair that was counted enters
+meet, so its count moves once; pairs with a word outside the vocabulary, and such words (with
+what they weigh as contexts), meet their row of a table. So every word and every pair that was counted enters
 the score: HEAD and NGRAMS only divide the work between memory and shuffle; they don't
 change a score (beyond quantisation). Only for orders above 2 are the longer n-grams those
 of the trie.
@@ -56,8 +56,8 @@ END = U64(0x8000000000000001)
 CHUNK = 2 << 20
 SLICE = 1 << 18
 LEAST = -12.0
-#: What a row of the rest is about, in place of a pair's second word: a pair of vocabulary words, a context, a word; then sums of a document.
-PAIR, CONTEXT, WORD, VALUE, PLUS, KNOWN, TOKENS = range(7)
+#: What a row of the rest is about, in place of a pair's second word: a pair of vocabulary words, a word; then sums of a document.
+PAIR, WORD, VALUE, PLUS, KNOWN, TOKENS = range(6)
 #: Keys below are vocabulary numbers; word hashes lie beyond.
 NUMBERS = 1 << 24
 
@@ -243,11 +243,11 @@ def _threshold(counted: DataFrame, rows: int) -> int:
     return answer if answer is not None else (1 << 62)
 
 
-def _rest(counted: DataFrame, pairs: DataFrame, least: int, total: float) -> DataFrame:
+def _rest(counted: DataFrame, pairs: DataFrame, total: float) -> DataFrame:
     """(key, word, amount) of words and contexts outside the trie's vocabulary, and of pairs with such a word.
 
-    A word's amount is its count, a context's the logarithm of its back-off weight, a pair's (n - D) times what is known
-    here of its factor; the scoring side knows the part of vocabulary words.
+    A word's amount is its count and, as a fraction of LEAST, the logarithm of its back-off weight as a context; a pair's is (n - D)
+    times what is known here of its factor; the scoring side knows the part of vocabulary words.
     """
     outer = pairs.where(F.col("word") != PAIR)
     number = F.col("key").between(0, NUMBERS - 1)
@@ -256,9 +256,9 @@ def _rest(counted: DataFrame, pairs: DataFrame, least: int, total: float) -> Dat
     weight, over = F.lit(DISCOUNT) * F.col("types"), F.col("n") - DISCOUNT
     known = outer.where(number).join(word, "word").select("key", "word", (over * F.col("share")).alias("amount"))
     unknown = outer.where(~number).join(word, "word").join(context, "key").select("key", "word", (over * F.lit(total) / weight * F.col("share")).alias("amount"))
-    of_context = context.select("key", F.lit(CONTEXT).cast("long").alias("word"), F.log10(weight / F.col("c")).alias("amount"))
-    of_word = counted.where(F.col("n") < least).select("key", F.lit(WORD).cast("long").alias("word"), F.col("n").cast("double").alias("amount"))
-    whole = known.unionByName(unknown).unionByName(of_context).unionByName(of_word)
+    # Words and contexts are the same tokens, each as often: one row has the count and, as a fraction, the logarithm.
+    of_word = context.select("key", F.lit(WORD).cast("long").alias("word"), (F.col("c") + F.log10(weight / F.col("c")) / LEAST).alias("amount"))
+    whole = known.unionByName(unknown).unionByName(of_word)
     return materialise(whole, "op8-rest")
 
 
@@ -297,7 +297,7 @@ def train(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
         by = np.argsort(k)
         left = None
         if n == 2:
-            rest = _rest(counted, found, least, float(floor))
+            rest = _rest(counted, found, float(floor))
             # A vocabulary word's successors, those outside the vocabulary included: at most one row for each.
             number = F.when(F.col("word") == PAIR, F.shiftright("key", 24)).otherwise(F.col("key"))
             after = found.select(number.alias("id")).where(F.col("id").between(0, NUMBERS - 1)).groupBy("id").agg(F.count(F.lit(1)).alias("types")).toArrow()
@@ -370,9 +370,8 @@ def _score(trie_of):
                 amount = (amount * sign[i:j][of[inner]]).astype(np.float32).astype(float)
                 need(inner, (context[inner] << 24) | ids[inner], np.full(len(inner), PAIR), amount)
                 rare, first, second = outside(hashes, at, ids, context)
-                need(rare, first, second.view(np.int64), share[rare])
-                strange = np.flatnonzero(context < 0)
-                need(strange, before(hashes, at)[strange], np.full(len(strange), CONTEXT), np.ones(len(strange)))
+                need(rare, first, second.view(np.int64), share[rare].astype(np.float32).astype(float))
+                # A document's contexts are its tokens, each as often, so an unknown word asks for its count and its back-off weight at once.
                 unknown = np.flatnonzero(ids < 0)
                 need(unknown, hashes[unknown], np.full(len(unknown), WORD), np.ones(len(unknown)))
                 whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["row", "key", "word", "amount"])
@@ -402,16 +401,15 @@ def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
         .select("row", "word", "amount", F.when(kind == PAIR, F.when(own > 0, own)).otherwise(others).alias("found"))
         .where(F.col("row").isNotNull() & (found.isNotNull() | kind.between(VALUE, TOKENS)))
     )
-    word = kind == WORD
+    word, count = kind == WORD, F.floor(found)
     gain = (
         F.when(kind == VALUE, amount)
-        .when(word, F.log10(found + 1))
-        .when(kind == CONTEXT, found)
-        .when((kind == PAIR) | ~kind.between(CONTEXT, TOKENS), F.log1p(found * F.abs(amount)) / float(np.log(10)))
+        .when(word, F.log10(count + 1) + (found - count) * LEAST)
+        .when((kind == PAIR) | ~kind.between(WORD, TOKENS), F.log1p(found * F.abs(amount)) / float(np.log(10)))
     )
     sums = met.groupBy("row").agg(
         F.sum(gain).alias("value"),
-        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(found + 1))).alias("plus"),
+        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(count + 1))).alias("plus"),
         F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
         F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
     )

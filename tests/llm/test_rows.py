@@ -50,3 +50,24 @@ def test_numbering_leaves_columns_alone(spark, tmp_path):
     got = blocks.numbered(docs)
     assert sorted((r.doc_id, r.path, r.place) for r in got.collect()) == [(i, f"p{i}", i * 10) for i in range(20)]
     assert got.agg(F.count_distinct("row")).first()[0] == 20
+
+
+def test_an_unknown_word_asks_once(spark):
+    """Words outside the trie ask for their count and their weight as contexts in one row, and the rest answers in one."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm import lm_scoring
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b d", "e a"] * 4)], "doc_id long, text string")
+    trie, rest, _ = lm_scoring.train(docs, head=0, ngrams=0)
+    words = rest.where(F.col("word") == lm_scoring.WORD)
+    assert words.count() == words.select("key").distinct().count() == 6 and rest.where(F.col("word").between(0, 5)).count() == 6
+    assert words.where((F.col("amount") <= F.floor("amount")) | (F.floor("amount") < 1)).count() == 0
+
+    class Held:
+        value = trie
+
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([7]), "held_out": pa.array([False]), "text": pa.array(["a b"])})
+    asked = [r["word"] for b in lm_scoring._score(Held)(iter([batch])) for r in b.to_pylist()]
+    assert asked.count(lm_scoring.WORD) == 3 and len(asked) == 4 + 3 + 3
