@@ -257,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         else:
             if counts is None:
                 found = asked.select("text").mapInArrow(_item_terms, "term long, items long, words long")
-                counts = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("items").alias("items"), F.sum("words").alias("words")), "op3-terms")
+                counts = materialise(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("items").alias("items"), F.sum("words").alias("words")), "op3-terms", small=True)
                 total = counts.agg(F.sum("items"), F.sum("words")).first()
             own = np.unique(np.concatenate(_terms_of_strings([t for _, t in held])))
             wanted = spark.createDataFrame(pa.table({"term": signed(own)}))

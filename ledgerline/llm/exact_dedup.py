@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, pattern: str | None = None, identifier: Callabl
     text_sha256, n_chunks: one row per input row.
     """
     cut = materialise(recipes(docs, pattern or chunk_pattern(), identifier), "op10-recipes")
-    bad = materialise(clashing(cut), "op10-clashes")
+    bad = materialise(clashing(cut), "op10-clashes", small=True)
     if bad.isEmpty():
         listed = cut.select("doc_id", "digest", F.size("ids").alias("n"), F.col("ids").alias("recipe"))
     else:

@@ -77,7 +77,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, weights=weig
         placed.select("doc_id", "row", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 16), F.lit(BUCKETS)).cast("int")),
         "op4-sizes",
     )
-    sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("size")), "op4-sources")
+    sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("size")), "op4-sources", small=True)
     goal = water_fill(weights(sources), max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long"))
     goal = goal.select("source", F.col("size").alias("source_size"), "target", "whole", (F.col("target") - F.col("whole") * F.col("size")).alias("want"))
