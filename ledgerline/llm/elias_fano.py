@@ -32,8 +32,8 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.low_bits = (int(x) for x in parts["shape"])
-        self.low, self.high, self.ones, self.zeros = parts["low"], parts["high"], parts["ones"], parts["zeros"]
-        self.inverse = ~np.asarray(self.high)
+        self.low, self.high, self.ones = parts["low"], parts["high"], parts["ones"]
+        self.ends = None
         size = max(0, len(self.low) - 7)
         self.window = np.ndarray((size,), "<u8", buffer=self.low, strides=(1,)) if size else None
 
@@ -55,7 +55,7 @@ class EliasFano:
                 raw[lo * low_bits // 8 : lo * low_bits // 8 + len(packed)] = packed
         count = np.bitwise_count(words).astype(np.int64)
         ones = np.concatenate([[0], np.cumsum(count)[:-1]])
-        return {"shape": np.array([n, low_bits]), "low": raw, "high": words, "ones": ones, "zeros": np.arange(len(words)) * 64 - ones}
+        return {"shape": np.array([n, low_bits]), "low": raw, "high": words, "ones": ones}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -72,23 +72,23 @@ class EliasFano:
         x = np.asarray(x)
         bucket = (x >> U64(self.low_bits)).astype(np.int64) if x.dtype == U64 else x >> self.low_bits
         low = (x & U64(_LOW_MASK[self.low_bits])).astype(np.int64) if x.dtype == U64 else x & _LOW_MASK[self.low_bits]
-        all_zeros = int(self.zeros[-1]) + int(np.bitwise_count(self.inverse[-1]))
-        ok = bucket < all_zeros - 1
+        if self.ends is None:  # of all buckets, 4 bytes each: where the upper half's zeros stand
+            gaps = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little") == 0)
+            self.ends = (gaps - np.arange(len(gaps))).astype(np.int32)
+        ok = bucket < len(self.ends) - 1
         b = np.where(ok, bucket, 0)
-        end = _select(self.inverse, self.zeros, b) - b
-        start = np.where(b > 0, _select(self.inverse, self.zeros, np.maximum(b - 1, 0)) - (b - 1), 0)
+        end = self.ends[b].astype(np.int64)
+        start = np.where(b > 0, self.ends[np.maximum(b - 1, 0)], 0).astype(np.int64)
         if lo is not None:
             start, end = np.maximum(start, lo), np.minimum(end, hi)
         left, right = start.copy(), np.where(ok, end, start)
-        while True:  # least place whose low half is at least the wanted one
-            open_ = left < right
-            if not open_.any():
-                break
-            mid = (left + right) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self._low(mid[open_]) < low[open_]
-            left = np.where(open_ & less, mid + 1, left)
-            right = np.where(open_ & ~less, mid, right)
+        todo = np.flatnonzero(left < right)
+        while len(todo):  # least place whose low half is at least the wanted one
+            mid = (left[todo] + right[todo]) >> 1
+            less = self._low(mid) < low[todo]
+            left[todo[less]] = mid[less] + 1
+            right[todo[~less]] = mid[~less]
+            todo = todo[left[todo] < right[todo]]
         hit = ok & (left < end)
         hit[hit] = self._low(left[hit]) == low[hit]
         return np.where(hit, left, -1)

@@ -16,7 +16,10 @@ relative to the context. The arrays lie in one buffer that workers memory-map.
 The rest. Words and pairs that aren't in the trie are not dropped: the tokens that miss it
 are sent by what they miss. A pair of vocabulary words is counted again where its tokens
 meet, so its count moves once; pairs with a word outside the vocabulary, and such words (with
-what they weigh as contexts), meet their row of a table. So every word and every pair that was counted enters
+what they weigh as contexts), meet their row of a table. What moves is not a row for each
+token: a task sorts its tokens by the part of the shuffle that they meet in, and sends each
+part the columns of some thousands of them, byte by byte (all first bytes, then all second
+ones), which compress well. So every word and every pair that was counted enters
 the score: HEAD and NGRAMS only divide the work between memory and shuffle; they don't
 change a score (beyond quantisation). Only for orders above 2 are the longer n-grams those
 of the trie.
@@ -41,13 +44,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import materialise, ship
+from ledgerline.functions.session import materialise, ship, shuffle_width
 from ledgerline.llm.blocks import NO_ID, numbered
 from ledgerline.llm.elias_fano import EliasFano, memory_map, pack
-from ledgerline.llm.kernels import U64, pieces, signed, word_hashes, words
+from ledgerline.llm.kernels import U64, mix64, pieces, word_hashes, words
 
 FOLDS, FOLD = 7, 2
 HEAD, NGRAMS, ORDER, DISCOUNT = 1 << 20, 1 << 21, 2, 0.75
@@ -60,6 +63,13 @@ LEAST = -12.0
 PAIR, WORD, VALUE, PLUS, KNOWN, TOKENS = range(6)
 #: Keys below are vocabulary numbers; word hashes lie beyond.
 NUMBERS = 1 << 24
+#: Further kinds of what is dealt out: pairs of vocabulary words that held-out tokens ask for, that are only counted; pairs with another word; rows of the rest.
+HELD, SEEN, OUTER, REST = range(6, 10)
+#: The columns of each kind.
+FIELDS = {PAIR: 2, HELD: 2, SEEN: 2, WORD: 2, OUTER: 3, REST: 3} | dict.fromkeys((VALUE, PLUS, KNOWN, TOKENS), 2)
+DEAL = 1 << 19
+#: An amount up to here stands for a pair that is only counted.
+NOTHING = 1e-29
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = FOLD) -> Column:
@@ -144,13 +154,19 @@ class Trie:
         ok = np.flatnonzero((context >= 0) & (word >= 0))
         if not len(ok) or not successors.n:
             return out
-        one, back = np.unique(context[ok], return_inverse=True)
+        # Each pair once and in order, so that neighbours in the arrays are read together.
+        pair, place = np.unique((context[ok] << 24) | word[ok], return_inverse=True)
+        of, wanted = pair >> 24, pair & (NUMBERS - 1)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        one, back = of[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
         lo, hi = pointers.get(one), pointers.get(one + 1)
         base = np.where(lo > 0, successors.get(np.maximum(lo - 1, 0)), 0)
-        some = (lo < hi)[back]
-        ok, back = ok[some], back[some]
-        if len(ok):
-            out[ok] = successors.find(base[back] + word[ok], lo[back], hi[back])
+        found = np.full(len(pair), -1)
+        some = np.flatnonzero((lo < hi)[back])
+        if len(some):
+            back = back[some]
+            found[some] = successors.find(base[back] + wanted[some], lo[back], hi[back])
+        out[ok] = found[place]
         return out
 
 
@@ -380,6 +396,158 @@ def _score(trie_of):
     return run
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of eight bytes, each as all of its first bytes, then all of its second ones, and so on."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+
+
+def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(x.T).reshape(-1).view(np.int64) for x in planes]
+
+
+def _part(key: np.ndarray, width: int) -> np.ndarray:
+    return ((mix64(key) >> U64(32)) * U64(width) >> U64(32)).astype(np.int64)
+
+
+def _deal(width: int, source=None):
+    """(part, kind, data): what meets is dealt to one of ``width`` parts, many records in one row. Takes the rows of ``source``, or else those of the rest."""
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        row, key, word, amount = (np.concatenate(x) for x in zip(*held, strict=True))
+        kind = np.full(len(key), REST)
+        if source is not None:
+            kind = np.where((word >= PAIR) & (word <= TOKENS), word, OUTER)
+            pair, only = word == PAIR, np.abs(amount) <= NOTHING
+            kind[pair & (amount < 0)] = HELD
+            kind[pair & only] = SEEN
+            some = np.flatnonzero(~(pair & only & (amount < 0)))
+            row, key, word, amount, kind = row[some], key[some], word[some], amount[some], kind[some]
+        met = np.where((kind == HELD) | (kind == SEEN), PAIR, word).astype(U64)
+        part = _part(key.view(U64) + mix64(met + U64(1)), width)
+        by = np.lexsort((key, part << 4 | kind))
+        row, key, word, amount, kind, part = (x[by] for x in (row, key, word, amount, kind, part))
+        at = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(key) else np.zeros(1, np.int64)
+        rows, size = ([], [], []), 0
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            k = int(kind[i])
+            columns = {OUTER: (key, word, row), REST: (key, word, amount)}.get(k, (row, amount) if VALUE <= k <= TOKENS else (key, row))
+            data = _packed(*(c[i:j] for c in columns))
+            for x, y in zip(rows, (int(part[i]), k, data), strict=True):
+                x.append(y)
+            size += len(data)
+            if size >= (4 << 20) or j == at[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["part", "kind", "data"])
+                rows, size = ([], [], []), 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches if source is None else source(batches):
+            held.append([batch.column(c).to_numpy() for c in ("row", "key", "word", "amount")])
+            size += batch.num_rows
+            if size >= max(DEAL, 256 * width):
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return run
+
+
+def _by_row(row: np.ndarray, sums: np.ndarray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows once, in order, and the sums of each; ``which`` names the one of four sums that an amount belongs to, else amounts are fours."""
+    one, back = np.unique(row, return_inverse=True)
+    if which is not None:
+        return one, np.bincount(back + len(one) * which, sums, 4 * len(one)).reshape(4, -1)
+    return one, np.stack([np.bincount(back, x, len(one)) for x in sums])
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, value, plus, known, tokens) of the documents of one part."""
+    held, size = [], 0
+
+    def summed():
+        row, sums = _by_row(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1))
+        return [(row, sums)]
+
+    for batch in batches:
+        for data in batch.column("data"):
+            row, *sums = _unpacked(data.as_buffer(), 5)
+            held.append((row, np.stack(sums).view(np.float64)))
+            size += len(row)
+            if size >= CHUNK:
+                held = summed()
+                size = len(held[0][0]) // 2
+    for row, sums in summed() if held else []:
+        whole = pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, sums)], names=["row", "value", "plus", "known", "tokens"])
+        yield from (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE))
+
+
+def _meet(trie_of, width: int):
+    """(part, data): what the tokens of one part gain where they meet, summed by document; the sums of many documents in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {kind: [] for kind in FIELDS}
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                held[kind].append(_unpacked(data.as_buffer(), FIELDS[kind]))
+        if not any(held.values()):
+            return
+
+        def taken(kind: int) -> list[np.ndarray]:
+            got = held.pop(kind)
+            return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * FIELDS[kind]
+
+        trie = Trie(trie_of.value)
+        floor = float(trie.total + trie.types + 1)
+        out = []  # (row, column, amount)
+        # Pairs of vocabulary words: training tokens are counted, those of both kinds ask.
+        (key, row), (held_key, held_row), (seen, _) = taken(PAIR), taken(HELD), taken(SEEN)
+        one, back = np.unique(np.concatenate([key, seen, held_key]), return_inverse=True)
+        own = np.bincount(back[: len(key) + len(seen)], minlength=len(one)) - DISCOUNT
+        amount = floor / (DISCOUNT * np.maximum(trie.successors[one >> 24], 1)) / (trie.count[one & (NUMBERS - 1)] + 1)
+        gain = np.log1p(np.maximum(own, 0) * amount) / np.log(10)
+        out.append((np.concatenate([row, held_row]), 0, gain[np.concatenate([back[: len(key)], back[len(key) + len(seen) :]])]))
+        del key, row, held_key, held_row, seen, one, back, own, amount, gain
+        # Other pairs, and words, meet their row of the rest, which stands first.
+        (key, word, amount), (outer, second, row), (unknown, word_row) = taken(REST), taken(OUTER), taken(WORD)
+        rest, pairs = len(key), len(outer)
+        keys, second = np.concatenate([key, outer, unknown]), np.concatenate([word, second, np.full(len(unknown), WORD)])
+        by = np.lexsort((second, keys))
+        x, y = keys[by], second[by]
+        group = np.empty(len(by), np.int64)
+        group[by] = np.cumsum(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(by)]) - 1
+        known = np.full(len(by), np.nan)
+        known[group[:rest]] = amount.view(np.float64)
+        found = known[group[rest:]]
+        ok = np.flatnonzero(~np.isnan(found[:pairs]))
+        context = outer[ok]
+        number = (context >= 0) & (context < NUMBERS)
+        share = np.ones(len(ok))
+        share[number] = floor / (DISCOUNT * np.maximum(trie.successors[context[number]], 1))
+        out.append((row[ok], 0, np.log1p(found[:pairs][ok] * share) / np.log(10)))
+        ok = np.flatnonzero(~np.isnan(found[pairs:]))
+        found = found[pairs:][ok]
+        count = np.floor(found)
+        plus = np.log10(count + 1)
+        out += [(word_row[ok], 0, plus + (found - count) * LEAST), (word_row[ok], 1, plus), (word_row[ok], 2, np.ones(len(ok)))]
+        for place, kind in enumerate((VALUE, PLUS, KNOWN, TOKENS)):
+            row, amount = taken(kind)
+            out.append((row, place, amount.view(np.float64)))
+        which = np.repeat([x[1] for x in out], [len(x[0]) for x in out])
+        row, sums = _by_row(np.concatenate([x[0] for x in out]), np.concatenate([x[2] for x in out]), which)
+        part = _part(row.view(U64), width)
+        by = np.argsort(part, kind="stable")
+        row, sums, part = row[by], np.ascontiguousarray(sums[:, by]), part[by]
+        # The last three bytes of a score's part are beyond what quantised values mean; as zeros they cost nothing.
+        sums[0] = ((sums[0].view(U64) + U64(1 << 23)) & ~U64((1 << 24) - 1)).view(np.float64)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+        data = [_packed(row[i:j], *sums[:, i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]].astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
+
+    return run
+
+
 def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -390,29 +558,13 @@ def score(docs: DataFrame, head: int = HEAD, ngrams: int = NGRAMS, order: int =
     repeats = narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
     placed = numbered(narrow) if repeats else narrow.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     given = placed.select("row", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    needed = given.select("row", "held_out", "text").mapInArrow(_score(trie_of), "row long, key long, word long, amount double")
-    kind, amount, found = F.col("word"), F.col("amount"), F.col("found")
-    # Tokens and the rest's rows (those without row) meet by what the tokens miss.
-    meeting = Window.partitionBy("key", "word")
-    own = F.sum((amount > 0).cast("int")).over(meeting) - DISCOUNT
-    others = F.max(F.when(F.col("row").isNull(), amount)).over(meeting)
-    met = (
-        needed.unionByName(rest.withColumn("row", F.lit(None).cast("long")))
-        .select("row", "word", "amount", F.when(kind == PAIR, F.when(own > 0, own)).otherwise(others).alias("found"))
-        .where(F.col("row").isNotNull() & (found.isNotNull() | kind.between(VALUE, TOKENS)))
-    )
-    word, count = kind == WORD, F.floor(found)
-    gain = (
-        F.when(kind == VALUE, amount)
-        .when(word, F.log10(count + 1) + (found - count) * LEAST)
-        .when((kind == PAIR) | ~kind.between(WORD, TOKENS), F.log1p(found * F.abs(amount)) / float(np.log(10)))
-    )
-    sums = met.groupBy("row").agg(
-        F.sum(gain).alias("value"),
-        F.sum(F.when(kind == PLUS, amount).when(word, F.log10(count + 1))).alias("plus"),
-        F.sum(F.when(kind == KNOWN, amount).when(word, 1.0)).alias("known"),
-        F.sum(F.when(kind == TOKENS, amount)).alias("tokens"),
-    )
+    width = shuffle_width(narrow, 8 << 20)
+    dealt = "part int, kind int, data binary"
+    needed = given.select("row", "held_out", "text").mapInArrow(_deal(width, _score(trie_of)), dealt)
+    answers = rest.select(F.lit(0).cast("long").alias("row"), "key", "word", "amount").mapInArrow(_deal(width), dealt)
+    met = needed.unionByName(answers).repartitionById(width, F.col("part"))
+    met = met.mapInArrow(_meet(trie_of, width), "part int, data binary").repartitionById(width, F.col("part"))
+    sums = met.mapInArrow(_sum_up, "row long, value double, plus double, known double, tokens double")
     floor = F.lit(float(np.log10(facts["total"] + facts["types"] + 1)))
     return (
         given.select("row", "doc_id", "held_out")

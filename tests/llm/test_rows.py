@@ -71,3 +71,34 @@ def test_an_unknown_word_asks_once(spark):
     batch = pa.RecordBatch.from_pydict({"row": pa.array([7]), "held_out": pa.array([False]), "text": pa.array(["a b"])})
     asked = [r["word"] for b in lm_scoring._score(Held)(iter([batch])) for r in b.to_pylist()]
     assert asked.count(lm_scoring.WORD) == 3 and len(asked) == 4 + 3 + 3
+
+
+def test_tokens_move_in_columns(spark):
+    """What the tokens ask for is dealt out in a few rows for each task, not in a row for each token, and every token meets its answer."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm import lm_scoring
+    from tests.llm import brute
+
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, 700))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    model = brute.bigram_model([[*t.split(), ""] for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2])
+    for head, ngrams in ((0, 0), (300, 500)):
+        got = lm_scoring.score(docs, head, ngrams)
+        exchanged = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in exchanged
+        for r in got.collect():
+            tokens = [*texts[r.doc_id][1].split(), ""]
+            assert abs(r.score - model(tokens)) <= 2e-4 * len(tokens)
+        trie, rest, _ = lm_scoring.train(docs, head, ngrams)
+        trie_of = spark.sparkContext.broadcast(trie)
+        given = docs.select(F.col("doc_id").alias("row"), lm_scoring.held_out(F.col("doc_id")).alias("held_out"), "text")
+        asked = given.mapInArrow(lm_scoring._score(trie_of), "row long, key long, word long, amount double")
+        dealt = given.mapInArrow(lm_scoring._deal(3, lm_scoring._score(trie_of)), "part int, kind int, data binary").collect()
+        records = sum(len(r.data) // 8 // lm_scoring.FIELDS[r.kind] for r in dealt)
+        assert asked.count() == records > 20_000 and len(dealt) <= 2 * 3 * len(lm_scoring.FIELDS)
+        assert {r.part for r in dealt} == {0, 1, 2}
